@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import op3, op6, op8
+from quern.llm import op3, op6, op8, op9
 
-_MODULES = (op3, op6, op8)
+_MODULES = (op3, op6, op8, op9)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}
