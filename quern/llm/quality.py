@@ -36,7 +36,7 @@ from quern.llm.common import materialize, text_bytes
 
 WINDOW, LEVEL, DICTIONARY_BYTES = 2048, 3, 112_640
 PER_CLASS, PIECES, PIECE = 6000, 4, 1024
-RIDGE = 1e-4
+RIDGE = 1.0  # of every weight but the constant, whatever the sample's size
 
 
 @dataclass
@@ -84,10 +84,11 @@ def features(sizes: np.ndarray) -> np.ndarray:
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mean, scale = x.mean(0), x.std(0) + 1e-9
     mean[0], scale[0] = 0, 1
-    z, w, ridge = (x - mean) / scale, np.zeros(x.shape[1]), RIDGE * max(len(y), 100)
+    z, w, ridge = (x - mean) / scale, np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
+    ridge[0] = 1e-6
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break

@@ -44,7 +44,7 @@ from quern.llm.common import filesystem, make_dir, materialize, shared_dir
 
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 1 << 16
-CACHED_CHUNKS, CACHED_PIECES = 700_000, 200_000
+CACHED_CHUNKS, CACHED_PIECES = 1_000_000, 200_000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -82,6 +82,7 @@ class PlaneEncoder:
         self.words.pre_tokenizer = pre_tokenizers.Split(self.border, "isolated")
         self.spaced: dict[str, bytes] = {}  # by chunk, without the space before it
         self.pieces: dict[str, bytes] = {}
+        self.signs = {c: self._library(c) for c in ".,;:!?"}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,15 +92,23 @@ class PlaneEncoder:
         lined = [p for p in pieces if "\n" in p]
         self.pieces.update((p, self._library(p)) for p in lined)
         pieces = [p for p in pieces if "\n" not in p] if lined else pieces
+        self.pieces.update(zip(pieces, self._bpe(pieces)))
+
+    def _bpe(self, pieces: list[str]) -> list[bytes]:
+        """Pre-tokens without line feeds."""
         groups = [pieces[i : i + 100] for i in range(0, len(pieces), 100)]
-        lines = [self.border.join(p.encode().decode("latin-1").translate(self.alphabet) for p in g) for g in groups]
+        lines = ["\n".join(g).encode().decode("latin-1").translate(self.alphabet) for g in groups]
+        out: list[bytes] = []
         for group, found in zip(groups, self.words.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.border_id).tolist(), len(ids)]
+            ends = [*(4 * np.flatnonzero(ids == self.border_id)).tolist(), 4 * len(ids)]
+            if len(ends) != len(group):
+                raise ValueError("pre-tokens were not kept apart")
             raw, at = ids.tobytes(), 0
-            for p, end in zip(group, ends, strict=True):
-                self.pieces[p] = raw[4 * at : 4 * end]
-                at = end + 1
+            for end in ends:
+                out.append(raw[at:end])
+                at = end + 4
+        return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Chunks that begin and end at pre-token borders."""
@@ -111,6 +120,32 @@ class PlaneEncoder:
         self._fill(new)
         return [self._library(c) if s is None else b"".join([self.pieces[p] for p in s]) for c, s in zip(chunks, split)]
 
+    def _encode_spaced(self, parts: list[str]) -> dict[str, bytes]:
+        """Chunks of a space and one of ``parts``. A word with or without a sign after it
+        needs no pattern, and is often known without the sign."""
+        out: dict[str, bytes] = {}
+        words: list[str] = []
+        stems: list[tuple[str, str]] = []
+        rest: list[str] = []
+        for p in parts:
+            if not (p.isascii() or _PLAIN.fullmatch(p)):
+                rest.append(p)
+            elif p.isalpha():
+                words.append(p)
+            elif p[-1] in self.signs and (stem := p[:-1]).isalpha():
+                if (ids := self.spaced.get(stem)) is None:
+                    words.append(stem)
+                    stems.append((p, stem))
+                else:
+                    out[p] = ids + self.signs[p[-1]]
+            else:
+                rest.append(p)
+        words = list(dict.fromkeys(words))
+        out.update(zip(words, self._bpe([" " + w for w in words])))
+        out.update((p, out[stem] + self.signs[p[-1]]) for p, stem in stems)
+        out.update(zip(rest, self._encode_chunks([" " + p for p in rest])))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         waiting: list[tuple[int, list[str], list[bytes | None]]] = []
@@ -123,8 +158,8 @@ class PlaneEncoder:
             parts = text.split(" ")
             got = list(map(self.spaced.get, parts[1:]))
             if None in got:
-                new = [p for p, g in zip(parts[1:], got) if g is None]
-                if any(not p or p[0].isspace() or p[-1].isspace() for p in new) or parts[0][-1:].isspace():
+                new = [p for p, g in zip(parts[1:], got) if g is None and p not in missing]
+                if any(not p or p.strip() != p for p in new) or parts[0][-1:].isspace():
                     odd = _SAFE_CUT.split(text)
                     out[i] = b"".join(self._encode_chunks([odd[0], *(" " + p for p in odd[1:])]))
                     continue
@@ -135,8 +170,7 @@ class PlaneEncoder:
                 continue
             waiting.append((i, parts, got))
             firsts.append((i, parts[0]))
-        new = list(missing)
-        known = dict(zip(new, self._encode_chunks([" " + p for p in new])))
+        known = self._encode_spaced(list(missing))
         starts = self._encode_chunks([p for _, p in firsts])
         for (i, parts, got), start in zip(waiting, starts):
             if None in got:
