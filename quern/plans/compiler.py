@@ -280,7 +280,7 @@ class Compiler:
     def select(self, q: A.Query, graph: object = DEFAULT) -> Relation:
         r = self.solutions(q, graph)
         order = self._order
-        names = [x[1].name if isinstance(x, tuple) else x.name for x in q.projection] if q.projection is not None else [n for n in r.vars if not n.startswith("_:")]
+        names = [x[1].name if isinstance(x, tuple) else x.name for x in q.projection] if q.projection is not None else [n for n in _pattern_variables(q.where) if n in r.vars and not n.startswith("_:")] + [n for n in A.variables(q.values) if n in r.vars and n not in _pattern_variables(q.where)]
         for n in names:
             if n not in r.vars:
                 r = r.with_val(n, t.null())
@@ -313,9 +313,10 @@ class Compiler:
         r = Relation(df.limit(q.limit) if q.limit is not None else df, r.vars)
         return self.instantiate(r, q.template).distinct()
 
-    def instantiate(self, r: Relation, template: tuple, default_graph: A.Iri | None = None) -> DataFrame:
+    def instantiate(self, r: Relation, template: tuple, default_graph: A.Iri | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
         """Quads of a template for each solution; those with an unbound part are left out, and
-        blank nodes are new for each solution."""
+        blank nodes are new for each solution. ``extra``: further columns of the result."""
+        extra = extra or {}
         if not template:
             return self.spark.createDataFrame([], t.QUAD)
         solution = F.md5(F.to_json(F.struct(F.lit(0).alias("x"), *(F.col(quoted(c)) for c in r.all_columns()))))
@@ -330,9 +331,9 @@ class Compiler:
             return t.constant_term(x).cast(t.TERM)
 
         made = F.array(*(F.struct(*(cell(x).alias(c) for c, x in (("s", q.s), ("p", q.p), ("o", q.o), ("g", q.g if q.g is not None else default_graph))), F.lit(isinstance(q.g, A.Var)).alias("named")) for q in template))
-        rows = r.df.select(F.explode(made).alias("q")).select("q.*")
+        rows = r.df.select(F.explode(made).alias("q"), *(c.alias(n) for n, c in extra.items())).select("q.*", *extra)
         legal = (F.col("s")["kind"] != t.LITERAL) & (F.col("p")["kind"] == t.IRI) & F.col("o").isNotNull() & (~F.col("named") | F.coalesce(F.col("g")["kind"] == t.IRI, F.lit(False)))
-        return rows.where(legal).select(*"spog")
+        return rows.where(legal).select(*"spog", *extra)
 
     def describe(self, q: A.Query) -> DataFrame:
         r = self.solutions(replace(q, projection=None))
@@ -393,7 +394,7 @@ def _pattern_variables(group: object) -> list[str]:
         elif isinstance(e, A.Optional):
             walk(e.group)
         elif isinstance(e, A.Graph | A.Service):
-            found.update(dict.fromkeys(A.variables(e.name)))
+            found.update(dict.fromkeys(A.variables(e.name)))  # as SELECT * orders them
             walk(e.group)
         elif isinstance(e, A.SubSelect):
             q = e.query

@@ -3,7 +3,7 @@
 Sequences and inverses are rewritten to triple patterns. Alternatives and negated sets are
 unions. ``+`` and ``*`` from or to a constant widen a frontier round by round; between two
 variables the closure squares itself, so a chain of n steps takes log2(n) joins. Each round
-is written to the shared folder and only new pairs go on.
+is written to the shared folder (unless it is small) and only new pairs go on.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from quern import terms as t
 from quern.operators.joins import join
 from quern.plans.relation import Relation, VarType, none, union
 from quern.sparql import ast as A
-from quern.storage import materialize
+from quern.storage import settle
 
 _fresh = count()
 
@@ -133,12 +133,12 @@ def _bound(r: Relation, triple: A.Triple, graph: object) -> Relation:
 
 def _frontier(pairs: DataFrame, here: str, there: str, start, keys: list[str]) -> DataFrame:
     """All that can be reached from the constant ``start``, as pairs with it."""
-    pairs = materialize(pairs.select(F.col(here).alias("a"), F.col(there).alias("b"), *keys).distinct(), "path")
-    new = materialize(pairs.where(F.col("a") == start).select("b", *keys).distinct(), "path")
+    pairs = settle(pairs.select(F.col(here).alias("a"), F.col(there).alias("b"), *keys).distinct(), "path")
+    new = settle(pairs.where(F.col("a") == start).select("b", *keys).distinct(), "path")
     seen = new
     while not new.isEmpty():
         step = new.select(F.col("b").alias("a"), *keys).join(pairs, ["a", *keys]).select("b", *keys).distinct()
-        new = materialize(step.join(seen, ["b", *keys], "left_anti"), "path")
+        new = settle(step.join(seen, ["b", *keys], "left_anti"), "path")
         seen = seen.union(new)
     return seen.select(start.alias(here), F.col("b").alias(there), *keys)
 
@@ -146,13 +146,13 @@ def _frontier(pairs: DataFrame, here: str, there: str, start, keys: list[str]) -
 def closure(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Transitive closure of (x, y) by squaring."""
     keys = keys or []
-    every = materialize(pairs.distinct(), "closure")
+    every = settle(pairs.distinct(), "closure")
     new = every
     while not new.isEmpty():
         far = new.select("x", F.col("y").alias("m"), *keys)
         step = far.join(every.select(F.col("x").alias("m"), "y", *keys), ["m", *keys]).select("x", "y", *keys)
         back = every.select("x", F.col("y").alias("m"), *keys).join(new.select(F.col("x").alias("m"), "y", *keys), ["m", *keys]).select("x", "y", *keys)
-        new = materialize(step.union(back).distinct().join(every, ["x", "y", *keys], "left_anti"), "closure")
+        new = settle(step.union(back).distinct().join(every, ["x", "y", *keys], "left_anti"), "closure")
         every = every.union(new)
     return every
 

@@ -68,6 +68,9 @@ class QuadSource:
         """One relation for each pattern; the caller joins them."""
         return [self.pattern(x, graph) for x in triples]
 
+    #: further columns that every pattern binds: variable -> (column, type)
+    extra: dict = {}
+
     def pattern(self, triple: A.Triple, graph: object) -> Relation:
         df = self.scope(graph)
         positions: dict[str, list[str]] = {}
@@ -81,8 +84,8 @@ class QuadSource:
         for columns in positions.values():
             for other in columns[1:]:
                 df = df.where(F.col(columns[0]) == F.col(other))
-        cols = [F.col(c[0]).alias(f"v_{n}") for n, c in positions.items()]
-        kinds = {n: VarType("term") for n in positions}
+        cols = [F.col(c[0]).alias(f"v_{n}") for n, c in positions.items()] + [F.col(c).alias(f"v_{n}") for n, (c, _) in self.extra.items()]
+        kinds = {n: VarType("term") for n in positions} | {n: k for n, (_, k) in self.extra.items()}
         return Relation(df.select(*cols or [F.lit(True).alias("_unit")]), kinds)
 
     def nodes(self, graph: object, name: str) -> Relation:
