@@ -502,7 +502,7 @@ def _root(_, a: Val) -> Val:
 
 def _universal_seconds(_, a: Val) -> Val:
     at = t.instant(a)
-    return Val("integer", F.timestampdiff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at) + UNIVERSAL_EPOCH) if at is not None else t.null("integer")
+    return Val("integer", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at) + UNIVERSAL_EPOCH) if at is not None else t.null("integer")
 
 
 BUILTINS: dict[str, Function] = {

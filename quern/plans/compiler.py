@@ -112,8 +112,30 @@ class Compiler:
         inner = inner.keep(wanted)
         if not lifted:
             return inner, None
+        inner = self.extreme(inner, outer, lifted)
         return inner, self.condition(lifted)
 
+    def extreme(self, inner: Relation, outer: Relation, lifted: list[A.Filter]) -> Relation:
+        """An EXISTS side whose one condition compares an inner variable with outer ones needs
+        only the extreme of each key: a row is met by some value above it if and only if it is met
+        by the greatest. So a key with many rows on both sides costs no pairs."""
+        if len(lifted) != 1 or not isinstance(lifted[0].expr, A.Call) or lifted[0].expr.name not in ("<", ">", "<=", ">="):
+            return inner
+        a, b = lifted[0].expr.args
+        name = lifted[0].expr.name
+        if isinstance(b, A.Var) and b.name in inner.vars and b.name not in outer.vars:
+            a, b, name = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}[name]
+        if not isinstance(a, A.Var) or a.name not in inner.vars or a.name in outer.vars or set(A.variables(b)) & (set(inner.vars) - set(outer.vars)):
+            return inner
+        kind = inner.vars[a.name]
+        keys = [n for n in inner.vars if n != a.name]
+        if kind.kind in ("term", "iri", "bnode") or kind.template is not None or any(n not in outer.vars or inner.vars[n].nullable for n in keys):
+            return inner
+        column = inner.columns(a.name)[0]
+        best = (F.max if name in (">", ">=") else F.min)(F.col(quoted(column))).alias(column)
+        df = inner.df.groupBy(*(quoted(c) for n in keys for c in inner.columns(n))).agg(best)
+        return Relation(df, {n: replace(v, nullable=True) if n == a.name else v for n, v in inner.vars.items()})
+
     def condition(self, filters: list[A.Filter]):
         def made(left: Relation, right: Relation) -> Column:
             lookup = lambda n: left.val(n) if n in left.vars and (n not in right.vars or not left.vars[n].nullable) else right.val(n)
