@@ -315,7 +315,7 @@ def substr(ctx: Context, a: Val, start: Val, length: Val | None = None) -> Val:
     begin = F.greatest(first, F.lit(1))
     cut = F.when(s.isNotNull() & first.isNotNull() & end.isNotNull(), F.substring(s, begin, F.greatest(end - begin, F.lit(0))))
     if ctx.parity:
-        cut = F.when((first >= 1) & (end <= F.length(s) + 1), cut)
+        cut = F.when((first >= 1) & (first <= F.length(s) + 1) & (end <= F.length(s) + 1), cut)
     return _like(a, cut)
 
 

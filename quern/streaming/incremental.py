@@ -25,6 +25,10 @@ from quern.sparql import ast as A
 from quern.storage import settle
 
 
+#: Column of multiplicities and their changes; no variable can be called so.
+WEIGHT = "weight#"
+
+
 class _Weighted(QuadSource):
     """Quads with a weight that each pattern binds under its own name."""
 
@@ -57,12 +61,12 @@ class IncrementalView:
         return rendered(Compiler(QuadSource(self.quads), self.ctx).select(self.query), "term")
 
     def _counted(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*map(quoted, rows.columns)).agg(F.count(F.lit(1)).alias("w"))
+        return rows.groupBy(*map(quoted, rows.columns)).agg(F.count(F.lit(1)).alias(WEIGHT))
 
     def rows(self) -> DataFrame:
         """The present answers, repeated as often as they occur."""
-        repeated = self.counts.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
-        return repeated.drop("w", "_i").distinct() if self.query.distinct else repeated.drop("w", "_i")
+        repeated = self.counts.withColumn("copy#", F.explode(F.sequence(F.lit(1), F.col(quoted(WEIGHT)).cast("int"))))
+        return repeated.drop(WEIGHT, "copy#").distinct() if self.query.distinct else repeated.drop(WEIGHT, "copy#")
 
     def change(self, delete: DataFrame, insert: DataFrame) -> DataFrame:
         """Apply deletes, then inserts; returns the changes of answers with their weights."""
@@ -75,10 +79,10 @@ class IncrementalView:
         if self.monotone:
             changed = self._delta(old, new, delta)
         else:
-            before = self.counts.withColumn("w", -F.col("w"))
+            before = self.counts.withColumn(WEIGHT, -F.col(quoted(WEIGHT)))
             changed = self._counted(self._batch()).unionByName(before)
-        names = [quoted(c) for c in self.counts.columns if c != "w"]
-        net = lambda df: df.groupBy(*names).agg(F.sum("w").alias("w")).where("w <> 0")
+        names = [quoted(c) for c in self.counts.columns if c != WEIGHT]
+        net = lambda df: df.groupBy(*names).agg(F.sum(quoted(WEIGHT)).alias(WEIGHT)).where(f"{quoted(WEIGHT)} <> 0")
         changed = settle(net(changed), "changed")
         self.counts = settle(net(self.counts.unionByName(changed)), "view")
         return changed
@@ -114,8 +118,8 @@ class IncrementalView:
         for x in self.query.projection or ():
             if isinstance(x, tuple):
                 r = r.with_val(x[1].name, compiler.expr(x[0], r.val))
-        names = [c for c in self.counts.columns if c != "w"]
-        return rendered(r.keep([*names, "_:w"]), "term").select(*map(quoted, names), F.col("`_:w`")["lex"].cast("bigint").alias("w"))
+        names = [c for c in self.counts.columns if c != WEIGHT]
+        return rendered(r.keep([*names, "_:w"]), "term").select(*map(quoted, names), F.col("`_:w`")["lex"].cast("bigint").alias(WEIGHT))
 
 
 def _patterns(e: object, graph: object) -> list[tuple[A.Triple, object]]:
