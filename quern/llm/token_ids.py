@@ -30,11 +30,13 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,7 @@ from quern.llm.common import filesystem, make_dir, materialize, shared_dir
 
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 1 << 16
+RUN_BYTES = 8 << 20
 CACHED_CHUNKS, CACHED_PIECES = 1_000_000, 200_000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
@@ -65,7 +68,7 @@ class PlaneEncoder:
         import json
 
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
         self.whole = Tokenizer.from_str(tokenizer_json)
@@ -74,12 +77,9 @@ class PlaneEncoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = spec.get("normalizer") is None and spec.get("pre_tokenizer") == _BYTE_LEVEL and spec["model"]["type"] == "BPE"
         self.pieces_of = regex.compile(_PATTERN).findall
-        self.words = Tokenizer.from_str(tokenizer_json)
-        self.alphabet = _byte_alphabet()
-        self.border = self.alphabet[10]  # a line feed as a token of its own parts the pieces of a batch
-        self.border_id = spec["model"].get("vocab", {}).get(self.border, -1)
-        self.fast &= self.border_id >= 0
-        self.words.pre_tokenizer = pre_tokenizers.Split(self.border, "isolated")
+        self.alphabet = {b: c for b, c in _byte_alphabet().items() if b != 10}
+        bare = spec | {"added_tokens": [], "pre_tokenizer": None, "post_processor": None, "truncation": None, "padding": None}
+        self.words = Tokenizer.from_str(json.dumps(bare)) if self.fast else None  # of the byte alphabet's letters
         self.spaced: dict[str, bytes] = {}  # by chunk, without the space before it
         self.pieces: dict[str, bytes] = {}
         self.signs = {c: self._library(c) for c in ".,;:!?"}
@@ -96,19 +96,10 @@ class PlaneEncoder:
 
     def _bpe(self, pieces: list[str]) -> list[bytes]:
         """Pre-tokens without line feeds."""
-        groups = [pieces[i : i + 100] for i in range(0, len(pieces), 100)]
-        lines = ["\n".join(g).encode().decode("latin-1").translate(self.alphabet) for g in groups]
-        out: list[bytes] = []
-        for group, found in zip(groups, self.words.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.border_id)).tolist(), 4 * len(ids)]
-            if len(ends) != len(group):
-                raise ValueError("pre-tokens were not kept apart")
-            raw, at = ids.tobytes(), 0
-            for end in ends:
-                out.append(raw[at:end])
-                at = end + 4
-        return out
+        if not pieces:
+            return []
+        spelt = "\n".join(pieces).encode().decode("latin-1").translate(self.alphabet).split("\n")
+        return [array("I", x.ids).tobytes() for x in self.words.encode_batch_fast(spelt, add_special_tokens=False)]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Chunks that begin and end at pre-token borders."""
@@ -146,39 +137,59 @@ class PlaneEncoder:
         out.update(zip(rest, self._encode_chunks([" " + p for p in rest])))
         return out
 
+    def _odd(self, text: str) -> bytes:
+        """A text with white space other than single spaces between its chunks."""
+        chunks = _SAFE_CUT.split(text)
+        return b"".join(self._encode_chunks([chunks[0], *(" " + c for c in chunks[1:])]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids. Texts are cut at spaces all at once; each distinct chunk is looked up
+        once, and the texts' ids are gathered from those of their chunks."""
         out: list[bytes | None] = [None] * len(texts)
-        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
-        missing: dict[str, None] = {}
-        firsts: list[tuple[int, str]] = []
-        for i, text in enumerate(texts):
-            if not self.fast or any(a in text for a in self.added):
-                out[i] = self._library(text)
-                continue
-            parts = text.split(" ")
-            got = list(map(self.spaced.get, parts[1:]))
-            if None in got:
-                new = [p for p, g in zip(parts[1:], got) if g is None and p not in missing]
-                if any(not p or p.strip() != p for p in new) or parts[0][-1:].isspace():
-                    odd = _SAFE_CUT.split(text)
-                    out[i] = b"".join(self._encode_chunks([odd[0], *(" " + p for p in odd[1:])]))
-                    continue
-                missing.update(dict.fromkeys(new))
-            elif parts[0][-1:].isspace():
-                odd = _SAFE_CUT.split(text)
-                out[i] = b"".join(self._encode_chunks([odd[0], *(" " + p for p in odd[1:])]))
-                continue
-            waiting.append((i, parts, got))
-            firsts.append((i, parts[0]))
-        known = self._encode_spaced(list(missing))
-        starts = self._encode_chunks([p for _, p in firsts])
-        for (i, parts, got), start in zip(waiting, starts):
-            if None in got:
-                got = [known[p] if g is None else g for p, g in zip(parts[1:], got)]
-            out[i] = start + b"".join(got)
-        if len(self.spaced) + len(known) > CACHED_CHUNKS:
-            self.spaced = dict(islice(self.spaced.items(), len(self.spaced) // 2, None))
-        self.spaced.update(known)
+        plain = [i for i, t in enumerate(texts) if self.fast and not any(a in t for a in self.added)]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self._library(texts[i])
+        if not plain:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        at, chunks = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        begin = lists.offsets.to_numpy()[:-1]
+        trimmed = pc.utf8_trim_whitespace(coded.dictionary)
+        odd = pc.or_(pc.equal(coded.dictionary, ""), pc.not_equal(trimmed, coded.dictionary)).to_numpy(zero_copy_only=False)[at]
+        odd[begin] = [chunks[k][-1:].isspace() for k in at[begin]]
+        of_text = np.repeat(np.arange(len(plain)), np.diff(lists.offsets.to_numpy()))
+        odd_text = np.logical_or.reduceat(odd, begin)
+        for k in np.flatnonzero(odd_text).tolist():
+            out[plain[k]] = self._odd(texts[plain[k]])
+        good = np.flatnonzero(~odd_text)
+        if not len(good):
+            return out
+        is_first = np.zeros(len(at), bool)
+        is_first[begin] = True
+        used = np.zeros(len(chunks), bool)
+        used[at[~is_first & ~odd_text[of_text]]] = True
+        numbers = np.flatnonzero(used)
+        names = [chunks[k] for k in numbers.tolist()]
+        ids = list(map(self.spaced.get, names))
+        if new := [c for c, x in zip(names, ids) if x is None]:
+            known = self._encode_spaced(new)
+            ids = [known[c] if x is None else x for c, x in zip(names, ids)]
+            if len(self.spaced) + len(known) > CACHED_CHUNKS:
+                self.spaced = dict(islice(self.spaced.items(), len(self.spaced) // 2, None))
+            self.spaced.update(known)
+        ids += self._encode_chunks([chunks[k] for k in at[begin[good]]])
+        entry = np.zeros(len(chunks), "i4")
+        entry[numbers] = np.arange(len(numbers))
+        entry = entry[at]
+        entry[begin[good]] = len(numbers) + np.arange(len(good))
+        gathered = pa.array(ids, pa.binary()).take(pa.array(entry[~odd_text[of_text]]))
+        _, borders, data = gathered.buffers()
+        parts = np.cumsum(np.diff(lists.offsets.to_numpy())[good])
+        ends = np.frombuffer(borders, "i4")[parts].tolist()
+        data = memoryview(data or b"")
+        for k, a, b in zip(good.tolist(), [0, *ends], ends):
+            out[plain[k]] = bytes(data[a:b])
         return out
 
 
@@ -241,7 +252,7 @@ class PlaneWriter:
         size, at = 4 * self.block_ids, 0
         while len(data) - at >= size or last and at < len(data):
             ids = np.frombuffer(data[at : at + size], "<u4")
-            planes = [self.pack(p) if any(p) else b"" for p in to_planes(ids, self.bits)]
+            planes = [self.pack(p) if p.count(0) < len(p) else b"" for p in to_planes(ids, self.bits)]
             self.index.append((self.at, len(ids), [len(p) for p in planes]))
             self._put(b"".join(planes))
             at += size
@@ -311,6 +322,20 @@ class PlaneFile:
             left = whole[n:]
 
 
+def _runs_of_texts(column: pa.Array) -> Iterator[list[str]]:
+    """The column's texts, about ``RUN_BYTES`` at a time."""
+    run, size = [], 0
+    for t in column:
+        t = t.as_py() or ""
+        run.append(t)
+        size += len(t)
+        if size >= RUN_BYTES:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _write_files(path: str, tokenizer, end_id: int, bits: bool, level: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -327,8 +352,8 @@ def _write_files(path: str, tokenizer, end_id: int, bits: bool, level: int):
                 stream = store.open_output_stream(f"{root}/{name}", compression=None)
                 writer = PlaneWriter(stream, bits, level)
             keys.append(batch.column(0))
-            for i in range(0, batch.num_rows, 64):
-                for raw in encode([t or "" for t in batch.column(1).slice(i, 64).to_pylist()]):
+            for texts in _runs_of_texts(batch.column(1)):
+                for raw in encode(texts):
                     writer.add(raw)
                     writer.add(end)
                     sizes.append(len(raw) // 4 + 1)
