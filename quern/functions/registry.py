@@ -19,6 +19,7 @@ from quern.terms import NUMERIC, Val
 
 EXPT_NS = "http://quern.example/math#"
 TIME_NS = "http://quern.example/datetime#"
+ENGINE_NS = "http://quern.example/engine#"
 UNIVERSAL_EPOCH = 2_208_988_800  # seconds from 1900 to 1970
 Function = Callable[..., Val]
 
@@ -521,4 +522,5 @@ BUILTINS: dict[str, Function] = {
 }
 EXTENSIONS: dict[str, Function] = {A.XSD.lower() + k.lower(): _cast(k) for k in ("string", "integer", "decimal", "float", "double", "boolean", "dateTime")}
 EXTENSIONS |= {A.XSD.lower() + k: _cast("integer") for k in ("int", "long")}
+EXTENSIONS |= {ENGINE_NS + "printing": lambda _, message, x: x}  # a debugging identity
 EXTENSIONS |= {EXPT_NS + "expt": _power, EXPT_NS + "sqrt": _root, TIME_NS + "datetime_in_seconds": _universal_seconds}

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from quern import terms as t
 from quern.functions.aggregates import aggregate
-from quern.functions.registry import Context
+from quern.functions.registry import ENGINE_NS, Context
 from quern.operators.joins import join, marked
 from quern.plans import paths
 from quern.plans.relation import Relation, VarType, none, quoted, union
@@ -26,6 +26,9 @@ from quern.sparql import ast as A
 from quern.terms import Val
 
 
+DYNAMIC_CALL = ENGINE_NS + "dynamic_call"
+
+
 @dataclass(frozen=True)
 class Mark:
     """An EXISTS whose answer is in a column."""
@@ -57,6 +60,10 @@ class Compiler:
         if isinstance(e, A.Call):
             if e.name == "BOUND":
                 return Val("boolean", lookup(e.args[0].name).col.isNotNull())
+            if e.name == DYNAMIC_CALL and e.args:  # the function is named by an argument
+                if not isinstance(e.args[0], A.Iri):
+                    return t.null()
+                e = A.Call(e.args[0].value, e.args[1:])
             args = [self.expr(a, lookup) for a in e.args]
             f = self.ctx.lookup(e.name)
             if f is None:
