@@ -206,6 +206,13 @@ class Compiler:
         for x in triples:
             for y in paths.steps(x):
                 (plain if isinstance(y.p, A.Var | A.Iri) else waiting).append(y)
+        negated = {}
+        for y in list(waiting):  # !(a|b) is a variable predicate of its subject's star, filtered
+            if isinstance(y.p, A.PathNeg) and y.p.forward and not y.p.inverse and not any(isinstance(z.p, A.Var) and z.s == y.s for z in plain):
+                v = paths.fresh()
+                negated[v.name] = [x.value for x in y.p.forward]
+                plain.append(A.Triple(y.s, v, y.o))
+                waiting.remove(y)
         parts = list(self.source.bgp(plain, graph)) if plain else []
         parts += [paths.relation(self, y, graph) for y in waiting]
         while parts:
@@ -214,7 +221,11 @@ class Compiler:
                 continue
             at = next((i for i, p in enumerate(parts) if set(p.vars) & set(r.vars)), 0)
             r = join(r, parts.pop(at), null_safe=self.ctx.parity)
-        return r if r is not None else self.source.unit()
+        r = r if r is not None else self.source.unit()
+        for name, iris in negated.items():
+            r = r.where(~F.coalesce(t.lex(r.val(name)).isin(iris), F.lit(False)))
+            r = r.keep([n for n in r.vars if n != name])
+        return r
 
     def values(self, e: A.Values) -> Relation:
         kinds, columns = {}, []

@@ -152,6 +152,8 @@ class VirtualSource:
                 continue
             p = x.p.value
             if p == RDF_TYPE:
+                if isinstance(x.o, A.Iri) and x.o.value != table.class_iri:
+                    return None
                 if not bind(x.o, VarType("iri"), [F.lit(table.class_iri)]):
                     return None
                 continue
