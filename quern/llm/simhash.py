@@ -20,9 +20,11 @@ row each. Components come from ``connected_components``. Nothing is collected.
 have a Jaccard similarity of ``similarity`` or more: copies are grouped by a 128-bit
 digest of their words; for the rest, candidates come from three fingerprints (192 bits) of
 the text's distinct words, whose bits change less under scattered edits than those of
-shingles, and are verified on the shingle sets themselves. The bit test makes this search
-approximate (recall 0.98 and more for similarities from 0.85 on scattered edits; measured in
-tests/llm); what it links is exact.
+shingles. A sketch of the shingle set (its 64 smallest hashes) passes over pairs that are
+estimated more than four standard deviations below the threshold, and the rest are verified
+on the shingle sets themselves. The bit test makes this search approximate (recall 0.98 and
+more for similarities from 0.85 on scattered edits; measured in tests/llm); what it links is
+exact.
 
 Edge cases: null and empty texts (and those of white space) have fingerprint zero and form
 one group; fewer words than a shingle give one shingle; repeated rows are copies; a null id
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,9 @@ from quern.llm.components import connected_components
 SEED = 42
 WIDE_RUN = 1500
 NEAREST = 4
+SKETCH = 64
+MARGIN = 0.2  # four standard deviations of the estimate at 0.8
+TEXT_ROWS = 64  # of an Arrow batch with two texts a row
 BLOCK = 1 << 17
 _LANES = np.uint64(0x0101010101010101)
 
@@ -216,28 +222,49 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _profile(schema: pa.Schema, text_at: int, m: int):
+def sketch(words: list[bytes], k: int) -> bytes:
+    """The ``SKETCH`` smallest 32-bit values of the set of shingles."""
+    own = np.unique((shingle_hashes(words, k) >> np.uint64(32)).astype("<u4"))
+    return own[:SKETCH].tobytes()
+
+
+def estimate(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of shingles from their sketches (exact for small sets)."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.sort(np.concatenate([x, y]))  # values inside a sketch are distinct
+    twice = both[1:] == both[:-1]
+    least = np.concatenate(([True], ~twice)) if len(both) else np.zeros(0, bool)
+    first = both[least][:SKETCH]
+    shared = both[1:][twice]
+    return float(np.count_nonzero(shared <= first[-1]) / len(first)) if len(first) else 0.0
+
+
+def _profile(schema: pa.Schema, text_at: int, m: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                digests, prints = [], [[] for _ in range(m)]
+                digests, sketches, prints = [], [], [[] for _ in range(m)]
                 for t in batch.column(text_at).cast(pa.binary()):
                     words = words_of(t.as_py())
                     digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                    sketches.append(sketch(words, shingle))
                     for column, value in zip(prints, word_fingerprints(words, m)):
                         column.append(value)
-                columns = [*batch.columns, pa.array(digests, pa.binary()), *map(_signed, prints)]
+                columns = [*batch.columns, pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), *map(_signed, prints)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
 def _nearest(limit: int, m: int):
-    """Each run member with its nearest members within ``limit`` bits."""
+    """Each run member with its nearest members within ``limit`` bits, and their distance."""
+
+    def made(a: list[bytes], b: list[bytes], far: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(far, pa.int32())], ["a", "b", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        a, b, bits = [], [], []
         for _, table in _runs(batches):
             ids = table.column(1).to_pylist()
             words = [table.column(2 + i).to_numpy().view("<u8") for i in range(m)]
@@ -252,15 +279,38 @@ def _nearest(limit: int, m: int):
                     x, y = ids[i], ids[lo + j]
                     a.append(min(x, y))
                     b.append(max(x, y))
+                    bits.append(int(far[j]))
             if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
+                yield made(a, b, bits)
+                a, b, bits = [], [], []
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            yield made(a, b, bits)
+
+    return run
+
+
+def _plausible(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            kept = pa.array([i for i in range(batch.num_rows) if estimate(x[i], y[i]) >= similarity - MARGIN], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(kept) for i in range(3)], ["a", "b", "bits"])
 
     return run
 
 
+@contextmanager
+def _text_batches(spark):
+    """Inside, Arrow batches have ``TEXT_ROWS`` rows, so that very long texts fit."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _verify(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,28 +328,58 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
+def _of_pairs(pairs: DataFrame, texts: DataFrame, whole: DataFrame, column) -> DataFrame:
+    """(_digest, column) of the texts that the pairs name."""
+    wanted = pairs.select(F.col("a").alias("_digest")).union(pairs.select("b")).distinct()
+    rows = texts.join(wanted, "_digest").select("_digest", F.col("one.row").alias("_row"))
+    return materialize(rows.join(whole.select("_row", column), "_row").drop("_row"), "near-duplicates")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, whole: DataFrame, text_col: str, verify) -> DataFrame:
+    """Components of the candidate pairs that hold.
+
+    Texts travel to the pairs, so as few pairs as can decide the components are verified: first
+    for each text the pairs with its nearest and its smallest candidate; then, of the rest, those
+    whose ends aren't connected yet. A pair that is left out lies inside a component.
+    """
+
+    def verified(some: DataFrame) -> DataFrame:
+        body = _of_pairs(some, texts, whole, text_bytes(F.col(text_col)).alias("text"))
+        sided = some.join(body.select(F.col("_digest").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("_digest").alias("b"), F.col("text").alias("text_b")), "b")
+        with _text_batches(whole.sparkSession):
+            return materialize(sided.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"), "near-duplicates")
+
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
+    chosen = both.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("near"), F.min("y").alias("least")).select("x", F.explode(F.array("near.y", "least")).alias("y"))
+    first = materialize(chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-duplicates")
+    links = verified(first)
+    roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = materialize(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-duplicates")
+    return connected_components(links.union(verified(rest)), "a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 40) -> DataFrame:
     """``docs`` with one row (that of the smallest id) of each group of near duplicates."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     m = 3
     own = docs.columns
-    extra = {"_digest": T.BinaryType(), **{f"_fp{i}": T.LongType() for i in range(m)}}
+    extra = {"_digest": T.BinaryType(), "_sketch": T.BinaryType(), **{f"_fp{i}": T.LongType() for i in range(m)}}
     if clash := {c.lower() for c in own} & {*extra, "_row"}:
         raise ValueError(f"columns {sorted(clash)} have names that this operator needs")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in extra.items())])
-    whole = materialize(docs.mapInArrow(_profile(to_arrow_schema(schema), own.index(text_col), m), schema).withColumn("_row", F.monotonically_increasing_id()), "near-duplicates")
+    whole = materialize(docs.mapInArrow(_profile(to_arrow_schema(schema), own.index(text_col), m, shingle), schema).withColumn("_row", F.monotonically_increasing_id()), "near-duplicates")
     keys = whole.select("_digest", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("one"), *(f"_fp{i}" for i in range(m)))
     texts = materialize(keys.groupBy("_digest").agg(F.min("one").alias("one"), *(F.first(f"_fp{i}").alias(f"fp{i}") for i in range(m))), "near-duplicates")
     keyed = variants(texts.drop("one"), m).select("key", "_digest", *(f"fp{i}" for i in range(m)))
-    pairs = keyed.repartition("key").sortWithinPartitions("key", *(f"fp{i}" for i in range(m))).mapInArrow(_nearest(max_bits, m), "a binary, b binary")
-    pairs = materialize(pairs.distinct(), "near-duplicates")
-    wanted = pairs.select(F.col("a").alias("_digest")).union(pairs.select("b")).distinct()
-    body = texts.join(wanted, "_digest").select("_digest", F.col("one.row").alias("_row")).join(whole.select("_row", text_bytes(F.col(text_col)).alias("text")), "_row").select("_digest", "text")
-    body = materialize(body, "near-duplicates")
-    sided = pairs.join(body.select(F.col("_digest").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("_digest").alias("b"), F.col("text").alias("text_b")), "b")
-    links = sided.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, similarity), "a binary, b binary")
-    roots = connected_components(links, "a", "b")
+    pairs = keyed.repartition("key").sortWithinPartitions("key", *(f"fp{i}" for i in range(m))).mapInArrow(_nearest(max_bits, m), "a binary, b binary, bits int")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.min("bits").alias("bits")), "near-duplicates")
+    sketches = _of_pairs(pairs, texts, whole, F.col("_sketch"))
+    sided = pairs.join(sketches.select(F.col("_digest").alias("a"), F.col("_sketch").alias("x")), "a").join(sketches.select(F.col("_digest").alias("b"), F.col("_sketch").alias("y")), "b")
+    pairs = materialize(sided.select("a", "b", "bits", "x", "y").mapInArrow(_plausible(similarity), "a binary, b binary, bits int"), "near-duplicates")
+    roots = _linked(pairs, texts, whole, text_col, _verify(shingle, similarity))
     grouped = texts.join(roots, texts._digest == roots.node, "left").select("one", F.coalesce("root", "_digest").alias("root"))
     kept = materialize(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.row").alias("_row")), "near-duplicates")
     return whole.join(kept, "_row", "left_semi").select(*own)

@@ -108,3 +108,17 @@ def test_near_duplicates_of_similarity_from_0_8_go_and_others_stay(spark):
     assert len(planted) > 80 and len(low) > 60
     assert sum(p in kept for p in planted) <= 0.02 * len(planted)
     assert all(p in kept for p in low) and all(2 * i in kept for i in range(300))
+
+
+def test_sketch_estimates():
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in rng.integers(0, 5000, 3000)]
+    other = list(words)
+    for i in range(0, 3000, 120):
+        other[i] = b"changed"
+    a, b = (set(simhash.shingle_hashes(w, 5).tolist()) for w in (words, other))
+    true = len(a & b) / len(a | b)
+    assert abs(simhash.estimate(simhash.sketch(words, 5), simhash.sketch(other, 5)) - true) < 0.2
+    assert simhash.estimate(simhash.sketch(words, 5), simhash.sketch(words, 5)) == 1 and simhash.estimate(simhash.sketch(words, 5), simhash.sketch([b"x%d" % i for i in range(900)], 5)) == 0
+    small = [b"a", b"b", b"c", b"d", b"e", b"f"]
+    assert simhash.estimate(simhash.sketch(small, 5), simhash.sketch(small[:5], 5)) == 0.5 and simhash.estimate(simhash.sketch([], 5), simhash.sketch([], 5)) == 0
