@@ -7,6 +7,7 @@ others are built from the same operators by the functions at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,10 @@ from pyspark.sql import functions as F
 from quern import terms as t
 from quern.functions.registry import EXPT_NS, TIME_NS
 from quern.operators.update import run_sequential
-from quern.plans.compiler import Compiler
 from quern.session import Dataset, quad_text
 from quern.sources import ntriples, turtle
 from quern.sources.quads import QuadSource
-from quern.sources.virtual import register
+from quern.sources.virtual import VirtualSource, register
 from quern.sparql import ast as A
 from quern.sparql.parser import parse
 from quern.storage import materialize, shared_dir
@@ -254,9 +254,15 @@ GRAPHS: dict[str, tuple[str, str]] = {
 }
 
 
+@lru_cache(maxsize=64)
+def _source(spark: SparkSession, application: str, sf_dir: str, names: tuple[str, ...] | None, graphs: bool) -> VirtualSource:
+    """Tables are registered once for each session: reading their footers costs more than planning."""
+    return register(spark, sf_dir, list(names) if names else None, {"events": "event_type"} if graphs else None)
+
+
 def dataset(spark: SparkSession, sf_dir: str, names: list[str] | None = None, graphs: bool = False) -> Dataset:
-    source = register(spark, sf_dir, ["events", "region"] if graphs else names, {"events": "event_type"} if graphs else None)
-    return Dataset(source, prefixes=PREFIXES)
+    names = ["events", "region"] if graphs else names
+    return Dataset(_source(spark, spark.sparkContext.applicationId, sf_dir, tuple(names) if names else None, graphs), prefixes=PREFIXES)
 
 
 _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages"]
@@ -341,7 +347,7 @@ def _accumulated(rule_text: str, out: str) -> Callable[[SparkSession, str], Data
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule = accumulator_of(parse(rule_text, prefixes=PREFIXES)[0])
-        compiler = Compiler(register(spark, sf_dir, ["events"]), Dataset(register(spark, sf_dir, ["events"])).ctx)
+        compiler = dataset(spark, sf_dir, ["events"]).compiler()
         r = compiler.group(A.Group((*rule.pattern.elements, A.Bgp((A.Triple(A.Var("e"), A.Iri("urn:c:ts"), A.Var("ts")), A.Triple(A.Var("e"), A.Iri("urn:c:event_id"), A.Var("id")))))))
         value = compiler.expr(rule.value, r.val)
         rows = r.df.select(r.val("id").col.alias("event_id"), r.val(rule.subject.name).col.alias("user_id"), r.val("ts").col.alias("ts"), value.col.alias("v"))
