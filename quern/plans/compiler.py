@@ -29,6 +29,12 @@ from quern.terms import Val
 DYNAMIC_CALL = ENGINE_NS + "dynamic_call"
 
 
+#: Functions that have a value for all arguments of these kinds.
+TOTAL = {f: t.NUMERIC for f in ("+", "-", "*", "u+", "u-", "ABS", "ROUND", "CEIL", "FLOOR")}
+TOTAL |= {f: ("string",) for f in ("STRLEN", "UCASE", "LCASE", "CONCAT", "STRBEFORE", "STRAFTER", "ENCODE_FOR_URI", "MD5", "SHA1", "SHA256", "SHA384", "SHA512")}
+TOTAL |= {f: ("dateTime",) for f in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES", "SECONDS", "TZ")} | {"STR": ("iri", *t.DATATYPES)}
+
+
 @dataclass(frozen=True)
 class Mark:
     """An EXISTS whose answer is in a column."""
@@ -71,6 +77,17 @@ class Compiler:
             return f(self.ctx, *args)
         raise ValueError(f"an expression can't have {type(e).__name__} here")
 
+    def total(self, e: object, r: Relation) -> bool:
+        """Whether an expression surely has a value, so that joins on it are equality joins. (The
+        overflow of 64 bits has none; such a row then joins nothing.)"""
+        if isinstance(e, A.Iri | A.Lit):
+            return True
+        if isinstance(e, A.Var):
+            return e.name in r.vars and not r.vars[e.name].nullable
+        if not isinstance(e, A.Call) or e.name not in TOTAL or not all(self.total(a, r) for a in e.args):
+            return False
+        return all(self.expr(a, r.val).kind in TOTAL[e.name] for a in e.args)
+
     def evaluated(self, e: object, r: Relation, graph: object) -> tuple[Relation, Val]:
         """The value over ``r``, which may get mark columns for it."""
         e, r = self.with_marks(e, r, graph)
@@ -182,7 +199,7 @@ class Compiler:
                 r = join(r if r is not None else unit(), self.group(e.group, graph), "left_anti", overlap=True)
             elif isinstance(e, A.Bind):
                 r, v = self.evaluated(e.expr, r if r is not None else unit(), graph)
-                r = r.with_val(e.var.name, v)
+                r = r.with_val(e.var.name, v, nullable=not self.total(e.expr, r))
                 r = Relation(r.df.select(*map(quoted, r.all_columns())), r.vars)
             else:
                 raise ValueError(f"unknown pattern {type(e).__name__}")

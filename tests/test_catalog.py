@@ -14,6 +14,7 @@ def test_equals_oracle(spark, name):
 
 
 def _plan(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
     return catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
