@@ -342,9 +342,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, whole: DataFrame, text_col: str,
     for each text the pairs with its nearest and its smallest candidate; then, of the rest, those
     whose ends aren't connected yet. A pair that is left out lies inside a component.
     """
+    body = _of_pairs(pairs, texts, whole, text_bytes(F.col(text_col)).alias("text"))
 
     def verified(some: DataFrame) -> DataFrame:
-        body = _of_pairs(some, texts, whole, text_bytes(F.col(text_col)).alias("text"))
         sided = some.join(body.select(F.col("_digest").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("_digest").alias("b"), F.col("text").alias("text_b")), "b")
         with _text_batches(whole.sparkSession):
             return materialize(sided.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"), "near-duplicates")
