@@ -16,15 +16,17 @@ Equal fingerprints are pre-aggregated before any of this, so groups of copies co
 row each. Components come from ``connected_components``. Nothing is collected.
 
 ``near_duplicate_groups`` is the plain operator (fingerprints within ``max_bits``).
-``drop_near_duplicates`` keeps one row for each group of texts whose sets of word shingles
-have a Jaccard similarity of ``similarity`` or more: copies are grouped by a 128-bit
-digest of their words; for the rest, candidates come from three fingerprints (192 bits) of
-the text's distinct words, whose bits change less under scattered edits than those of
-shingles. A sketch of the shingle set (its 64 smallest hashes) passes over pairs that are
-estimated more than four standard deviations below the threshold, and the rest are verified
-on the shingle sets themselves. The bit test makes this search approximate (recall 0.98 and
-more for similarities from 0.85 on scattered edits; measured in tests/llm); what it links is
-exact.
+``drop_near_duplicates`` keeps one row for each group that pairs of texts connect whose sets of
+word shingles have a Jaccard similarity of ``similarity`` or more. It is exact: copies are
+grouped by a 128-bit digest of their words; for the rest, candidates come from a prefix join.
+All shingles have one order (common ones, as counted in a sample, last; else by hash; any order
+gives the same result), and two sets of n and more shingles that are as similar have one of
+the first n - ceil(similarity n) + 1 of each in common. A pair of such a run goes on if sizes
+and places in the order leave room for the overlap, and if the sets' parities in ``FOLD`` bits
+differ in no more bits than the sets may differ in shingles; neither test loses a pair. What
+is left is verified on the shingle sets, those nearest by three SimHash fingerprints of the
+words (192 bits) first; pairs inside a component need no verification. Runs over ``WIDE_KEY``
+members give two pairs a member at first, and then all pairs between different components.
 
 Edge cases: null and empty texts (and those of white space) have fingerprint zero and form
 one group; fewer words than a shingle give one shingle; repeated rows are copies; a null id
@@ -35,6 +37,7 @@ called like a result are replaced.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -50,9 +53,14 @@ from quern.llm.components import connected_components
 
 SEED = 42
 WIDE_RUN = 1500
-NEAREST = 4
+WIDE_KEY = 64
+FIRST_PAIRS = 8  # of a member of a wide run, before all others
+SAMPLE = 16  # one text of so many is counted for the order of shingles
+COMMON = 6  # in the sample
+MAX_COMMON = 200_000
+FOLD = 2048
+EPS = 1e-9
 SKETCH = 64
-MARGIN = 0.2  # four standard deviations of the estimate at 0.8
 TEXT_ROWS = 64  # of an Arrow batch with two texts a row
 BLOCK = 1 << 17
 _LANES = np.uint64(0x0101010101010101)
@@ -239,62 +247,188 @@ def estimate(a: bytes, b: bytes) -> float:
     return float(np.count_nonzero(shared <= first[-1]) / len(first)) if len(first) else 0.0
 
 
-def _profile(schema: pa.Schema, text_at: int, m: int, shingle: int):
+def folded(own: np.ndarray) -> bytes:
+    """Parities of a set of hashes in ``FOLD`` bits: an element more or less changes one bit."""
+    counts = np.bincount((own % np.uint64(FOLD)).astype("i8"), minlength=FOLD)
+    return np.packbits((counts & 1).astype("u1")).tobytes()
+
+
+def prefix(own: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first elements of a sorted set, one of which every set as similar has among its own."""
+    if not len(own):
+        return own
+    n = len(own) - math.ceil(similarity * len(own) - EPS) + 1
+    if not len(common):
+        return own[:n]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    rank = np.where(common[at] == own, ranks[at], 0)
+    return own[np.argsort(rank, kind="stable")[:n]]
+
+
+def _shingle_rows(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(t.as_py()), shingle)).view("<i8"))], ["h"])
+
+    return run
+
+
+def _common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles and their ranks from 1, the most common last."""
+    text = text_bytes(F.col(text_col))
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(_shingle_rows(shingle), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()
+    hashes = rows.column("h").to_numpy().view("<u8")
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+
+
+def _profile(schema: pa.Schema, text_at: int, m: int, shingle: int, similarity: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ranks = common.value
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                digests, sketches, prints = [], [], [[] for _ in range(m)]
+                digests, sizes, folds, firsts, prints = [], [], [], [], [[] for _ in range(m)]
                 for t in batch.column(text_at).cast(pa.binary()):
                     words = words_of(t.as_py())
+                    own = np.unique(shingle_hashes(words, shingle))
                     digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                    sketches.append(sketch(words, shingle))
+                    sizes.append(len(own))
+                    folds.append(folded(own))
+                    firsts.append(prefix(own, similarity, hashes, ranks).tobytes())
                     for column, value in zip(prints, word_fingerprints(words, m)):
                         column.append(value)
-                columns = [*batch.columns, pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), *map(_signed, prints)]
+                columns = [*batch.columns, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(folds, pa.binary()), pa.array(firsts, pa.binary()), *map(_signed, prints)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def _nearest(limit: int, m: int):
-    """Each run member with its nearest members within ``limit`` bits, and their distance."""
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, size, place) of (id, size, prefix)."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1000):
+            batch = whole.slice(i, 1000)
+            keys = [np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist()]
+            lengths = np.array([len(k) for k in keys], "i8")
+            places = np.concatenate([np.arange(n, dtype="i4") for n in lengths])
+            columns = [np.concatenate(keys), np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(batch.column(1).to_numpy(), lengths), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "place"])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables whose runs of equal keys (column 0) are whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(0)[-1].as_py()
+        if held and held[-1].column(0)[-1].as_py() == last:
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        upto = int(np.searchsorted(table.column(0).to_numpy(), last))
+        if upto:
+            yield table.slice(0, upto)
+        held = table.slice(upto).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _room(similarity: float, size_a, size_b, place_a, place_b):
+    """If sets with a common element at these places can be as similar."""
+    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
+    sizes = size_a + size_b
+    return (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - EPS) & (most >= similarity / (1 + similarity) * sizes - EPS)
+
+
+def _meet(similarity: float):
+    """Pairs (a, b) of narrow runs and first pairs of wide ones; the postings (a, key, size, place) of wide runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches):
+            key, ids, size, place = (table.column(i).to_numpy() for i in range(4))
+            size, place = size.astype("i8"), place.astype("i8")
+            starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            lengths = np.diff(np.concatenate((starts, [len(key)])))
+            wide = np.repeat(lengths > WIDE_KEY, lengths)
+            a, b = [], []
+
+            def add(i, j):
+                fit = _room(similarity, size[i], size[j], place[i], place[j])
+                x, y = ids[i[fit]], ids[j[fit]]
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+
+            narrow = lengths[lengths <= WIDE_KEY]
+            for d in range(1, int(narrow.max()) if len(narrow) else 0):
+                i = np.flatnonzero((key[:-d] == key[d:]) & ~wide[:-d])
+                add(i, i + d)
+            for s, n in zip(starts[lengths > WIDE_KEY].tolist(), lengths[lengths > WIDE_KEY].tolist()):
+                i = np.arange(s, s + n)
+                add(i[:-1], i[1:])
+                add(i, np.full(n, s + int(np.argmin(place[s : s + n]))))  # fewest shingles of its own
+            x, y = (np.concatenate(c) if c else np.zeros(0, "i8") for c in (a, b))
+            pair = np.unique(np.stack([x, y], 1)[x != y], axis=0)
+            none = lambda n, kind: pa.nulls(n, kind)
+            if len(pair):
+                n = len(pair)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32())], ["a", "b", "key", "size", "place"])
+            if n := int(np.count_nonzero(wide)):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[wide]), none(n, pa.int64()), pa.array(key[wide]), pa.array(size[wide].astype("i4")), pa.array(place[wide].astype("i4"))], ["a", "b", "key", "size", "place"])
+
+    return run
+
 
-    def made(a: list[bytes], b: list[bytes], far: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(far, pa.int32())], ["a", "b", "bits"])
+def _between(similarity: float, most: int | None):
+    """Pairs between the components of a run of (key, id, size, place, root, fold): for each member
+    outside the largest the ``most`` nearest, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, bits = [], [], []
         for _, table in _runs(batches):
-            ids = table.column(1).to_pylist()
-            words = [table.column(2 + i).to_numpy().view("<u8") for i in range(m)]
-            n = len(ids)
-            for i in range(n):
-                lo = max(0, min(i - WIDE_RUN, n - 2 * WIDE_RUN))  # wide runs: neighbours in the order of fingerprints
-                hi = min(n, lo + 2 * WIDE_RUN + 1)
-                far = sum(np.bitwise_count(w[lo:hi] ^ w[i]).astype("i4") for w in words)
-                far[i - lo] = 10_000
-                near = np.argsort(far, kind="stable")[:NEAREST]
-                for j in near[far[near] <= limit].tolist():
-                    x, y = ids[i], ids[lo + j]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-                    bits.append(int(far[j]))
-            if len(a) > 50_000:
-                yield made(a, b, bits)
-                a, b, bits = [], [], []
-        if a:
-            yield made(a, b, bits)
+            ids, size, place, root = (table.column(i).to_numpy().astype("i8") for i in range(1, 5))
+            names, of = np.unique(root, return_inverse=True)
+            if len(names) == 1:
+                continue
+            largest = int(np.argmax(np.bincount(of)))
+            bits = np.frombuffer(b"".join(table.column(5).to_pylist()), "<u8").reshape(len(ids), -1)
+            a, b = [], []
+            for i in np.flatnonzero(of != largest).tolist():
+                j = np.flatnonzero((of != of[i]) & _room(similarity, size[i], size, place[i], place))
+                j = j[(of[j] == largest) | (j > i)]
+                far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype="i8")
+                fit = far <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + EPS
+                j, far = j[fit], far[fit]
+                if most is not None and len(j) > most:
+                    j = j[np.argsort(far, kind="stable")[:most]]
+                a.append(np.minimum(ids[j], ids[i]))
+                b.append(np.maximum(ids[j], ids[i]))
+                if len(a) % 100 == 0 and sum(map(len, a)) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b = [], []
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
-def _plausible(similarity: float):
+def _plausible(similarity: float, m: int):
+    """(a, b, bits) of (a, b, the fold, size and fingerprints of a, those of b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            kept = pa.array([i for i in range(batch.num_rows) if estimate(x[i], y[i]) >= similarity - MARGIN], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(kept) for i in range(3)], ["a", "b", "bits"])
+            if not batch.num_rows:
+                continue
+            ends = [[batch.column(2 + (2 + m) * e + i) for i in range(2 + m)] for e in (0, 1)]
+            x, y = (np.frombuffer(b"".join(e[0].to_pylist()), "<u8").reshape(batch.num_rows, -1) for e in ends)
+            sizes = sum(e[1].to_numpy().astype("i8") for e in ends)
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype="i8")
+            kept = np.flatnonzero(far <= (1 - similarity) / (1 + similarity) * sizes + EPS)
+            bits = sum(np.bitwise_count(ends[0][2 + i].to_numpy() ^ ends[1][2 + i].to_numpy()).astype("i4") for i in range(m))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(bits[kept])], ["a", "b", "bits"])
 
     return run
 
@@ -328,58 +462,83 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
-def _of_pairs(pairs: DataFrame, texts: DataFrame, whole: DataFrame, column) -> DataFrame:
-    """(_digest, column) of the texts that the pairs name."""
-    wanted = pairs.select(F.col("a").alias("_digest")).union(pairs.select("b")).distinct()
-    rows = texts.join(wanted, "_digest").select("_digest", F.col("one.row").alias("_row"))
-    return materialize(rows.join(whole.select("_row", column), "_row").drop("_row"), "near-duplicates")
+def _of_pairs(pairs: DataFrame, whole: DataFrame, *columns) -> DataFrame:
+    """(_row, columns) of the texts that the pairs name."""
+    wanted = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
+    return materialize(whole.select("_row", *columns).join(wanted, "_row"), "near-duplicates")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, whole: DataFrame, text_col: str, verify) -> DataFrame:
-    """Components of the candidate pairs that hold.
+def _verified(pairs: DataFrame, body: DataFrame, verify) -> DataFrame:
+    of = lambda end: body.select(F.col("_row").alias(end), F.col("text").alias("text_" + end))
+    with _text_batches(body.sparkSession):
+        return materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint"), "near-duplicates")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't connected yet."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
+    return pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _linked(pairs: DataFrame, wide: DataFrame, whole: DataFrame, text_col: str, similarity: float, verify) -> DataFrame:
+    """Components of the candidate pairs that hold; ``wide`` are the postings of wide runs.
 
     Texts travel to the pairs, so as few pairs as can decide the components are verified: first
     for each text the pairs with its nearest and its smallest candidate; then, of the rest, those
-    whose ends aren't connected yet. A pair that is left out lies inside a component.
+    whose ends aren't connected yet; then those of wide runs, the nearest before all others. A
+    pair that is left out lies inside a component.
     """
-    body = _of_pairs(pairs, texts, whole, text_bytes(F.col(text_col)).alias("text"))
-
-    def verified(some: DataFrame) -> DataFrame:
-        sided = some.join(body.select(F.col("_digest").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("_digest").alias("b"), F.col("text").alias("text_b")), "b")
-        with _text_batches(whole.sparkSession):
-            return materialize(sided.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"), "near-duplicates")
-
+    text = text_bytes(F.col(text_col)).alias("text")
+    body = _of_pairs(pairs, whole, text)
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
     chosen = both.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("near"), F.min("y").alias("least")).select("x", F.explode(F.array("near.y", "least")).alias("y"))
     first = materialize(chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-duplicates")
-    links = verified(first)
+    links = _verified(first, body, verify)
     roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
-    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = materialize(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-duplicates")
-    return connected_components(links.union(verified(rest)), "a", "b")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 40) -> DataFrame:
+    rest = materialize(_apart(pairs.join(first, ["a", "b"], "left_anti"), roots), "near-duplicates")
+    links = materialize(links.union(_verified(rest, body, verify)), "near-duplicates")
+    roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
+    if wide.isEmpty():
+        return roots
+    tried = pairs.select("a", "b")
+    wide = materialize(wide.join(whole.select(F.col("_row").alias("id"), "_fold"), "id"), "near-duplicates")
+    for most in (FIRST_PAIRS, None):
+        sided = wide.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"), "_fold")
+        more = sided.repartition("key").sortWithinPartitions("key").mapInArrow(_between(similarity, most), "a bigint, b bigint").distinct()
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "near-duplicates")
+        links = materialize(links.union(_verified(more, _of_pairs(more, whole, text), verify)), "near-duplicates")
+        roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
+        tried = tried.union(more)
+    return roots
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row (that of the smallest id) of each group of near duplicates."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     m = 3
     own = docs.columns
-    extra = {"_digest": T.BinaryType(), "_sketch": T.BinaryType(), **{f"_fp{i}": T.LongType() for i in range(m)}}
+    prints = [f"_fp{i}" for i in range(m)]
+    extra = {"_digest": T.BinaryType(), "_size": T.IntegerType(), "_fold": T.BinaryType(), "_prefix": T.BinaryType(), **{p: T.LongType() for p in prints}}
     if clash := {c.lower() for c in own} & {*extra, "_row"}:
         raise ValueError(f"columns {sorted(clash)} have names that this operator needs")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in extra.items())])
-    whole = materialize(docs.mapInArrow(_profile(to_arrow_schema(schema), own.index(text_col), m, shingle), schema).withColumn("_row", F.monotonically_increasing_id()), "near-duplicates")
-    keys = whole.select("_digest", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("one"), *(f"_fp{i}" for i in range(m)))
-    texts = materialize(keys.groupBy("_digest").agg(F.min("one").alias("one"), *(F.first(f"_fp{i}").alias(f"fp{i}") for i in range(m))), "near-duplicates")
-    keyed = variants(texts.drop("one"), m).select("key", "_digest", *(f"fp{i}" for i in range(m)))
-    pairs = keyed.repartition("key").sortWithinPartitions("key", *(f"fp{i}" for i in range(m))).mapInArrow(_nearest(max_bits, m), "a binary, b binary, bits int")
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.min("bits").alias("bits")), "near-duplicates")
-    sketches = _of_pairs(pairs, texts, whole, F.col("_sketch"))
-    sided = pairs.join(sketches.select(F.col("_digest").alias("a"), F.col("_sketch").alias("x")), "a").join(sketches.select(F.col("_digest").alias("b"), F.col("_sketch").alias("y")), "b")
-    pairs = materialize(sided.select("a", "b", "bits", "x", "y").mapInArrow(_plausible(similarity), "a binary, b binary, bits int"), "near-duplicates")
-    roots = _linked(pairs, texts, whole, text_col, _verify(shingle, similarity))
-    grouped = texts.join(roots, texts._digest == roots.node, "left").select("one", F.coalesce("root", "_digest").alias("root"))
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text_col, shingle))
+    profile = _profile(to_arrow_schema(schema), own.index(text_col), m, shingle, similarity, common)
+    whole = materialize(docs.mapInArrow(profile, schema).withColumn("_row", F.monotonically_increasing_id()), "near-duplicates")
+    keys = whole.select("_digest", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("one"))
+    texts = materialize(keys.groupBy("_digest").agg(F.min("one").alias("one")).select("one"), "near-duplicates")
+    distinct = whole.select("_row", "_size", "_prefix").where("_size > 0").join(texts.select(F.col("one.row").alias("_row")), "_row", "left_semi")
+    postings = distinct.mapInArrow(_postings, "key bigint, id bigint, size int, place int")
+    met = materialize(postings.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(similarity), "a bigint, b bigint, key bigint, size int, place int"), "near-duplicates")
+    pairs = materialize(met.where("b is not null").select("a", "b").distinct(), "near-duplicates")
+    wide = met.where("b is null").select("key", F.col("a").alias("id"), "size", "place")
+    facts = ["_fold", "_size", *prints]
+    ends = _of_pairs(pairs, whole, *facts)
+    of = lambda end: ends.select(F.col("_row").alias(end), *(F.col(c).alias(c + end) for c in facts))
+    sided = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *(c + "a" for c in facts), *(c + "b" for c in facts))
+    pairs = materialize(sided.mapInArrow(_plausible(similarity, m), "a bigint, b bigint, bits int"), "near-duplicates")
+    roots = _linked(pairs, wide, whole, text_col, similarity, _verify(shingle, similarity))
+    grouped = texts.join(roots, texts.one.row == roots.node, "left").select("one", F.coalesce("root", "one.row").alias("root"))
     kept = materialize(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.row").alias("_row")), "near-duplicates")
     return whole.join(kept, "_row", "left_semi").select(*own)

@@ -122,3 +122,28 @@ def test_sketch_estimates():
     assert simhash.estimate(simhash.sketch(words, 5), simhash.sketch(words, 5)) == 1 and simhash.estimate(simhash.sketch(words, 5), simhash.sketch([b"x%d" % i for i in range(900)], 5)) == 0
     small = [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert simhash.estimate(simhash.sketch(small, 5), simhash.sketch(small[:5], 5)) == 0.5 and simhash.estimate(simhash.sketch([], 5), simhash.sketch([], 5)) == 0
+
+
+def _kept_by_brute_force(rows, similarity=0.8):
+    sets = [(d, frozenset(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist())) for d, t in rows]
+    return set(_brute_groups(sets, lambda a, b: len(a & b) >= similarity * len(a | b)))
+
+
+def _kept(spark, rows):
+    return {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_block_tail_and_short_edits_from_0_8_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows, near = [], 0
+    for i in range(240):
+        n = rng.choice([5, 8, 12, 20, 30, 60, 200, 900])
+        text = [word() for _ in range(n)]
+        edit = max(1, int(n * rng.choice([0.05, 0.1, 0.15, 0.18])))
+        at = rng.randrange(n - edit + 1)
+        other = [text + [word() for _ in range(edit)], text[:-edit], text[:at] + [word() for _ in range(edit)] + text[at + edit :], text[:at] + text[at + edit :]][i % 4]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+        near += 0.8 <= _jaccard(rows[-1][1], rows[-2][1]) < 1
+    assert near > 80
+    assert _kept(spark, rows) == _kept_by_brute_force(rows)
