@@ -147,3 +147,15 @@ def test_block_tail_and_short_edits_from_0_8_go(spark):
         near += 0.8 <= _jaccard(rows[-1][1], rows[-2][1]) < 1
     assert near > 80
     assert _kept(spark, rows) == _kept_by_brute_force(rows)
+
+
+def test_texts_of_equal_word_sets_do_not_hide_others(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(5):
+        words = [f"{rng.choice('abcdefgh')}{g}{i}" for i in range(120)]
+        for changed in (False, True):
+            for k in range(6):  # one sentence moved to six places
+                text = words[:10] + words[20 : 20 + 15 * k] + words[10:20] + words[20 + 15 * k :]
+                rows.append((len(rows), " ".join("other" if changed and w == words[5] else w for w in text)))
+    assert _kept(spark, rows) == _kept_by_brute_force(rows) == {0, 12, 24, 36, 48}
