@@ -62,6 +62,7 @@ FOLD = 2048
 EPS = 1e-9
 SKETCH = 64
 TEXT_ROWS = 64  # of an Arrow batch with two texts a row
+PROFILE_ROWS = 500  # of one with one text a row
 BLOCK = 1 << 17
 _LANES = np.uint64(0x0101010101010101)
 
@@ -434,11 +435,11 @@ def _plausible(similarity: float, m: int):
 
 
 @contextmanager
-def _text_batches(spark):
-    """Inside, Arrow batches have ``TEXT_ROWS`` rows, so that very long texts fit."""
+def _text_batches(spark, rows: int = TEXT_ROWS):
+    """Inside, Arrow batches have so few rows that very long texts fit."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, TEXT_ROWS)
+    spark.conf.set(name, rows)
     try:
         yield
     finally:
@@ -497,15 +498,16 @@ def _linked(pairs: DataFrame, wide: DataFrame, whole: DataFrame, text_col: str,
     roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
     rest = materialize(_apart(pairs.join(first, ["a", "b"], "left_anti"), roots), "near-duplicates")
     links = materialize(links.union(_verified(rest, body, verify)), "near-duplicates")
-    roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
     if wide.isEmpty():
-        return roots
+        return connected_components(links, "a", "b")
     tried = pairs.select("a", "b")
     wide = materialize(wide.join(whole.select(F.col("_row").alias("id"), "_fold"), "id"), "near-duplicates")
     for most in (FIRST_PAIRS, None):
         sided = wide.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"), "_fold")
         more = sided.repartition("key").sortWithinPartitions("key").mapInArrow(_between(similarity, most), "a bigint, b bigint").distinct()
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "near-duplicates")
+        if most is None and more.isEmpty():
+            break
         links = materialize(links.union(_verified(more, _of_pairs(more, whole, text), verify)), "near-duplicates")
         roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
         tried = tried.union(more)
@@ -525,7 +527,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in extra.items())])
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text_col, shingle))
     profile = _profile(to_arrow_schema(schema), own.index(text_col), m, shingle, similarity, common)
-    whole = materialize(docs.mapInArrow(profile, schema).withColumn("_row", F.monotonically_increasing_id()), "near-duplicates")
+    with _text_batches(docs.sparkSession, PROFILE_ROWS):
+        whole = materialize(docs.mapInArrow(profile, schema).withColumn("_row", F.monotonically_increasing_id()), "near-duplicates")
     keys = whole.select("_digest", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("one"))
     texts = materialize(keys.groupBy("_digest").agg(F.min("one").alias("one")).select("one"), "near-duplicates")
     distinct = whole.select("_row", "_size", "_prefix").where("_size > 0").join(texts.select(F.col("one.row").alias("_row")), "_row", "left_semi")

@@ -159,3 +159,22 @@ def test_texts_of_equal_word_sets_do_not_hide_others(spark):
                 text = words[:10] + words[20 : 20 + 15 * k] + words[10:20] + words[20 + 15 * k :]
                 rows.append((len(rows), " ".join("other" if changed and w == words[5] else w for w in text)))
     assert _kept(spark, rows) == _kept_by_brute_force(rows) == {0, 12, 24, 36, 48}
+
+
+def test_wide_runs_of_texts_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_RUN", 3)
+    monkeypatch.setattr(simhash, "WIDE_KEY", 3, raising=False)
+    monkeypatch.setattr(simhash, "FIRST_PAIRS", 1, raising=False)
+    rng = random.Random(10)
+    rows = []
+    for g in range(3):
+        words = [f"w{g}x{i}" for i in range(100)]
+        for _ in range(70):  # some of these are similar only to few others
+            text = list(words)
+            for _ in range(rng.choice([1, 1, 2, 2, 3])):
+                at, n = rng.randrange(90), rng.randint(1, 3)
+                text[at : at + n] = [f"w{g}y{rng.randrange(9)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(text)))
+    want = _kept_by_brute_force(rows)
+    assert 3 < len(want) < 150
+    assert _kept(spark, rows) == want
