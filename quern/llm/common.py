@@ -2,7 +2,7 @@
 
 Operators write intermediate tables and media below the folder that the session
 names in ``spark.checkpoint.dir``; a private temporary folder is used only where
-that setting is absent (single-machine tests).
+that setting is absent and the master is local (single-machine tests).
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +24,42 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value) -> Iterator[None]:
+    """Inside, the session has this setting."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later reads neither
-    recompute it nor depend on the executors that made it."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: later reads neither recompute it
+    nor depend on the executors that made it. The job's shuffle files go when it ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
+    for t in tables:
+        spark, path = t.sparkSession, t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.materialized_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):
@@ -72,12 +98,3 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
-
-
-def plus(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
-
-
-def local_name(prefix: str) -> str:
-    """A name that no other task attempt uses."""
-    return f"{prefix}-{uuid.uuid4().hex}-{os.getpid()}"

@@ -17,21 +17,24 @@ row each. Components come from ``connected_components``. Nothing is collected.
 
 ``near_duplicate_groups`` is the plain operator (fingerprints within ``max_bits``).
 ``drop_near_duplicates`` keeps one row for each group that pairs of texts connect whose sets of
-word shingles have a Jaccard similarity of ``similarity`` or more. It is exact: copies are
-grouped by a 128-bit digest of their words; for the rest, candidates come from a prefix join.
-All shingles have one order (common ones, as counted in a sample, last; else by hash; any order
-gives the same result), and two sets of n and more shingles that are as similar have one of
-the first n - ceil(similarity n) + 1 of each in common. A pair of such a run goes on if sizes
-and places in the order leave room for the overlap, and if the sets' parities in ``FOLD`` bits
-differ in no more bits than the sets may differ in shingles; neither test loses a pair. What
-is left is verified on the shingle sets, those nearest by three SimHash fingerprints of the
-words (192 bits) first; pairs inside a component need no verification. Runs over ``WIDE_KEY``
-members give two pairs a member at first, and then all pairs between different components.
+word shingles have a Jaccard similarity of ``similarity`` or more. Fingerprints alone can't
+find all of those: a block of one text in ten changed moves 20 of 64 bits and more. So it has
+two passes, and no pair is linked that isn't verified on the shingle sets. Texts of equal sets
+are one to begin with. The first pass is the one above, by fingerprints of the sets within
+``NEAR_BITS``; it connects the greater part of the copies. The second is exact and finds the
+rest by a prefix join. All shingles have one order (common ones, as counted in a sample, last;
+else by hash; any order gives the same result), and two sets as similar have one of the first
+n - ceil(similarity n) + 1 of n shingles of each in common. A pair of such a run whose ends
+aren't connected yet goes on if sizes and places in the order leave room for the overlap, and
+if the sets' parities in ``FOLD`` bits differ in no more bits than the sets may differ in
+shingles; neither test loses a pair. The nearest are verified first, then what is still apart.
+Runs over ``WIDE_KEY`` members give two pairs a member at first, and then all pairs between
+different components, in blocks of ``BETWEEN_ROWS`` members, so that no task holds a run.
 
 Edge cases: null and empty texts (and those of white space) have fingerprint zero and form
 one group; fewer words than a shingle give one shingle; repeated rows are copies; a null id
-never names a group unless it has no other; empty tables give empty results; input columns
-called like a result are replaced.
+never names a group unless it has no other; empty tables give empty results; ``drop_near_duplicates``
+keeps all input columns, whatever their names, and ``near_duplicate_groups`` only the id.
 """
 
 from __future__ import annotations
@@ -39,16 +42,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import materialize, text_bytes
+from quern.llm.common import materialize, release, setting, text_bytes
 from quern.llm.components import connected_components
 
 SEED = 42
@@ -58,9 +61,10 @@ FIRST_PAIRS = 8  # of a member of a wide run, before all others
 SAMPLE = 16  # one text of so many is counted for the order of shingles
 COMMON = 6  # in the sample
 MAX_COMMON = 200_000
-FOLD = 2048
+FOLD = 1024
+NEAR_BITS = 2  # of the first pass
+BETWEEN_ROWS = 2048
 EPS = 1e-9
-SKETCH = 64
 TEXT_ROWS = 64  # of an Arrow batch with two texts a row
 PROFILE_ROWS = 500  # of one with one text a row
 BLOCK = 1 << 17
@@ -102,19 +106,6 @@ def fingerprint(text: bytes | None, k: int = 3) -> int:
     return majority(shingle_hashes(words_of(text), k))
 
 
-def word_fingerprints(words: list[bytes], m: int = 3) -> list[int]:
-    """m fingerprints of the set of words."""
-    own = list(set(words))
-    base = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), "<u8", len(own))
-    out = []
-    for i in range(m):  # further hashes are mixed from the first
-        x = base + np.uint64((i * 0x9E3779B97F4A7C15) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
-
-
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, "<u8").view("<i8"))
 
@@ -215,39 +206,28 @@ def _search_runs(max_bits: int):
     return run
 
 
+def print_links(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b) of a spanning forest of the distinct fingerprints ``fp0`` that are within ``max_bits``."""
+    return variants(fps.select("fp0"), 1).select("key", "fp0").repartition("key").sortWithinPartitions("key").mapInArrow(_search_runs(max_bits), "a bigint, b bigint")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(id, fingerprint, component_id) for each row; ``max_bits`` can be 0 to 3."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments of 32 bits find all pairs within 3 bits")
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    prints = materialize(docs.select(F.col(id_col).alias("id"), text_bytes(F.col(text_col)).alias("text")).mapInArrow(_fingerprints(shingle), schema), "simhash")
+    texts = docs.select(F.col(id_col).alias("id"), text_bytes(F.col(text_col)).alias("text"))
+    with _text_batches(docs.sparkSession, PROFILE_ROWS):
+        prints = materialize(texts.mapInArrow(_fingerprints(shingle), schema), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash")
-    keyed = variants(distinct.select(F.col("fp").alias("fp0")), 1).select("key", "fp0")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_search_runs(max_bits), "a bigint, b bigint")
-    roots = connected_components(edges, "a", "b")
+    roots = connected_components(print_links(distinct.select(F.col("fp").alias("fp0")), max_bits), "a", "b")
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = materialize(labelled.select("fp", "root").join(groups, "root").select("fp", "component_id"), "simhash")
+    release(distinct, roots)
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(words: list[bytes], k: int) -> bytes:
-    """The ``SKETCH`` smallest 32-bit values of the set of shingles."""
-    own = np.unique((shingle_hashes(words, k) >> np.uint64(32)).astype("<u4"))
-    return own[:SKETCH].tobytes()
-
-
-def estimate(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of shingles from their sketches (exact for small sets)."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.sort(np.concatenate([x, y]))  # values inside a sketch are distinct
-    twice = both[1:] == both[:-1]
-    least = np.concatenate(([True], ~twice)) if len(both) else np.zeros(0, bool)
-    first = both[least][:SKETCH]
-    shared = both[1:][twice]
-    return float(np.count_nonzero(shared <= first[-1]) / len(first)) if len(first) else 0.0
-
-
 def folded(own: np.ndarray) -> bytes:
     """Parities of a set of hashes in ``FOLD`` bits: an element more or less changes one bit."""
     counts = np.bincount((own % np.uint64(FOLD)).astype("i8"), minlength=FOLD)
@@ -286,38 +266,36 @@ def _common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.n
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
-def _profile(schema: pa.Schema, text_at: int, m: int, shingle: int, similarity: float, common):
+def _profile(text_at: int, shingle: int, similarity: float, common):
+    """(doc, digest, size, fold, prefix, fp) of (doc)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = common.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                digests, sizes, folds, firsts, prints = [], [], [], [], [[] for _ in range(m)]
-                for t in batch.column(text_at).cast(pa.binary()):
-                    words = words_of(t.as_py())
-                    own = np.unique(shingle_hashes(words, shingle))
-                    digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                    sizes.append(len(own))
-                    folds.append(folded(own))
-                    firsts.append(prefix(own, similarity, hashes, ranks).tobytes())
-                    for column, value in zip(prints, word_fingerprints(words, m)):
-                        column.append(value)
-                columns = [*batch.columns, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(folds, pa.binary()), pa.array(firsts, pa.binary()), *map(_signed, prints)]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        for batch in batches:
+            digests, sizes, folds, firsts, prints = [], [], [], [], []
+            for t in pc.struct_field(batch.column(0), text_at).cast(pa.binary()):
+                own = np.unique(shingle_hashes(words_of(t.as_py()), shingle))
+                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                sizes.append(len(own))
+                folds.append(folded(own))
+                firsts.append(prefix(own, similarity, hashes, ranks).tobytes())
+                prints.append(majority(own))
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(folds, pa.binary()), pa.array(firsts, pa.binary()), _signed(prints)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "digest", "size", "fold", "prefix", "fp"])
 
     return run
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, size, place) of (id, size, prefix)."""
+    """(key, id, size, place, root) of (id, size, prefix, root)."""
     for whole in batches:
         for i in range(0, whole.num_rows, 1000):
             batch = whole.slice(i, 1000)
             keys = [np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist()]
             lengths = np.array([len(k) for k in keys], "i8")
             places = np.concatenate([np.arange(n, dtype="i4") for n in lengths])
-            columns = [np.concatenate(keys), np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(batch.column(1).to_numpy(), lengths), places]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "place"])
+            ids, size, root = (np.repeat(batch.column(k).to_numpy(), lengths) for k in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(keys), ids, size, places, root)], ["key", "id", "size", "place", "root"])
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -347,58 +325,61 @@ def _room(similarity: float, size_a, size_b, place_a, place_b):
 
 
 def _meet(similarity: float):
-    """Pairs (a, b) of narrow runs and first pairs of wide ones; the postings (a, key, size, place) of wide runs."""
+    """Of (key, id, size, place, root): pairs (a, b) of different roots, all of narrow runs and
+    two a member of wide ones; the postings (a, key, size, place) of wide runs of several roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches):
-            key, ids, size, place = (table.column(i).to_numpy() for i in range(4))
+            key, ids, size, place, root = (table.column(i).to_numpy() for i in range(5))
             size, place = size.astype("i8"), place.astype("i8")
             starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             lengths = np.diff(np.concatenate((starts, [len(key)])))
-            wide = np.repeat(lengths > WIDE_KEY, lengths)
+            several = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+            wide_run = (lengths > WIDE_KEY) & several
+            wide, open_run = np.repeat(wide_run, lengths), np.repeat((lengths <= WIDE_KEY) & several, lengths)
             a, b = [], []
 
             def add(i, j):
-                fit = _room(similarity, size[i], size[j], place[i], place[j])
+                fit = (root[i] != root[j]) & _room(similarity, size[i], size[j], place[i], place[j])
                 x, y = ids[i[fit]], ids[j[fit]]
                 a.append(np.minimum(x, y))
                 b.append(np.maximum(x, y))
 
-            narrow = lengths[lengths <= WIDE_KEY]
+            narrow = lengths[(lengths <= WIDE_KEY) & several]
             for d in range(1, int(narrow.max()) if len(narrow) else 0):
-                i = np.flatnonzero((key[:-d] == key[d:]) & ~wide[:-d])
+                i = np.flatnonzero((key[:-d] == key[d:]) & open_run[:-d])
                 add(i, i + d)
-            for s, n in zip(starts[lengths > WIDE_KEY].tolist(), lengths[lengths > WIDE_KEY].tolist()):
+            for s, n in zip(starts[wide_run].tolist(), lengths[wide_run].tolist()):
                 i = np.arange(s, s + n)
                 add(i[:-1], i[1:])
                 add(i, np.full(n, s + int(np.argmin(place[s : s + n]))))  # fewest shingles of its own
             x, y = (np.concatenate(c) if c else np.zeros(0, "i8") for c in (a, b))
-            pair = np.unique(np.stack([x, y], 1)[x != y], axis=0)
-            none = lambda n, kind: pa.nulls(n, kind)
-            if len(pair):
-                n = len(pair)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32())], ["a", "b", "key", "size", "place"])
+            pair = np.unique(np.stack([x, y], 1), axis=0)
+            if n := len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], ["a", "b", "key", "size", "place"])
             if n := int(np.count_nonzero(wide)):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[wide]), none(n, pa.int64()), pa.array(key[wide]), pa.array(size[wide].astype("i4")), pa.array(place[wide].astype("i4"))], ["a", "b", "key", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[wide]), pa.nulls(n, pa.int64()), pa.array(key[wide]), pa.array(size[wide].astype("i4")), pa.array(place[wide].astype("i4"))], ["a", "b", "key", "size", "place"])
 
     return run
 
 
 def _between(similarity: float, most: int | None):
-    """Pairs between the components of a run of (key, id, size, place, root, fold): for each member
-    outside the largest the ``most`` nearest, or all."""
+    """Pairs between the components of each run of (part, id, size, place, root, fold, side): for
+    each member the ``most`` nearest, or all. Members of sides 0 and 1 meet each other, those of
+    side 2 one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in _runs(batches):
             ids, size, place, root = (table.column(i).to_numpy().astype("i8") for i in range(1, 5))
+            side = table.column(6).to_numpy()
             names, of = np.unique(root, return_inverse=True)
             if len(names) == 1:
                 continue
-            largest = int(np.argmax(np.bincount(of)))
             bits = np.frombuffer(b"".join(table.column(5).to_pylist()), "<u8").reshape(len(ids), -1)
-            a, b = [], []
+            largest = int(np.argmax(np.bincount(of)))
+            a, b, held = [], [], 0
             for i in np.flatnonzero(of != largest).tolist():
-                j = np.flatnonzero((of != of[i]) & _room(similarity, size[i], size, place[i], place))
+                j = np.flatnonzero((of != of[i]) & ((side != side[i]) | (side[i] == 2)) & _room(similarity, size[i], size, place[i], place))
                 j = j[(of[j] == largest) | (j > i)]
                 far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype="i8")
                 fit = far <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + EPS
@@ -407,43 +388,47 @@ def _between(similarity: float, most: int | None):
                     j = j[np.argsort(far, kind="stable")[:most]]
                 a.append(np.minimum(ids[j], ids[i]))
                 b.append(np.maximum(ids[j], ids[i]))
-                if len(a) % 100 == 0 and sum(map(len, a)) > 50_000:
+                held += len(j)
+                if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                    a, b = [], []
+                    a, b, held = [], [], 0
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
-def _plausible(similarity: float, m: int):
-    """(a, b, bits) of (a, b, the fold, size and fingerprints of a, those of b)."""
+def _in_blocks(sided: DataFrame) -> DataFrame:
+    """(part, id, size, place, root, fold, side) of (key, id, size, place, root, fold): the runs of
+    several roots, as pairs of blocks of about ``BETWEEN_ROWS`` members."""
+    runs = sided.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    rows = sided.join(runs.select("key", F.ceil(F.col("n") / BETWEEN_ROWS).cast("int").alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") == low, 0).otherwise(1)
+    return rows.select(F.xxhash64("key", low, high).alias("part"), "id", "size", "place", "root", "fold", side.alias("side"))
+
+
+def _plausible(similarity: float):
+    """(a, b, far) of (a, b, the fold and size of a, those of b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ends = [[batch.column(2 + (2 + m) * e + i) for i in range(2 + m)] for e in (0, 1)]
-            x, y = (np.frombuffer(b"".join(e[0].to_pylist()), "<u8").reshape(batch.num_rows, -1) for e in ends)
-            sizes = sum(e[1].to_numpy().astype("i8") for e in ends)
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype="i8")
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(batch.num_rows, -1) for i in (2, 4))
+            sizes = batch.column(3).to_numpy().astype("i8") + batch.column(5).to_numpy()
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype="i4")
             kept = np.flatnonzero(far <= (1 - similarity) / (1 + similarity) * sizes + EPS)
-            bits = sum(np.bitwise_count(ends[0][2 + i].to_numpy() ^ ends[1][2 + i].to_numpy()).astype("i4") for i in range(m))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(bits[kept])], ["a", "b", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(far[kept])], ["a", "b", "far"])
 
     return run
 
 
-@contextmanager
 def _text_batches(spark, rows: int = TEXT_ROWS):
     """Inside, Arrow batches have so few rows that very long texts fit."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def _verify(shingle: int, similarity: float):
@@ -463,85 +448,91 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
-def _of_pairs(pairs: DataFrame, whole: DataFrame, *columns) -> DataFrame:
-    """(_row, columns) of the texts that the pairs name."""
-    wanted = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
-    return materialize(whole.select("_row", *columns).join(wanted, "_row"), "near-duplicates")
-
-
-def _verified(pairs: DataFrame, body: DataFrame, verify) -> DataFrame:
-    of = lambda end: body.select(F.col("_row").alias(end), F.col("text").alias("text_" + end))
-    with _text_batches(body.sparkSession):
-        return materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint"), "near-duplicates")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't connected yet."""
-    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
-    return pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def _linked(pairs: DataFrame, wide: DataFrame, whole: DataFrame, text_col: str, similarity: float, verify) -> DataFrame:
-    """Components of the candidate pairs that hold; ``wide`` are the postings of wide runs.
-
-    Texts travel to the pairs, so as few pairs as can decide the components are verified: first
-    for each text the pairs with its nearest and its smallest candidate; then, of the rest, those
-    whose ends aren't connected yet; then those of wide runs, the nearest before all others. A
-    pair that is left out lies inside a component.
-    """
-    text = text_bytes(F.col(text_col)).alias("text")
-    body = _of_pairs(pairs, whole, text)
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
-    chosen = both.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("near"), F.min("y").alias("least")).select("x", F.explode(F.array("near.y", "least")).alias("y"))
-    first = materialize(chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-duplicates")
-    links = _verified(first, body, verify)
-    roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
-    rest = materialize(_apart(pairs.join(first, ["a", "b"], "left_anti"), roots), "near-duplicates")
-    links = materialize(links.union(_verified(rest, body, verify)), "near-duplicates")
-    if wide.isEmpty():
-        return connected_components(links, "a", "b")
-    tried = pairs.select("a", "b")
-    wide = materialize(wide.join(whole.select(F.col("_row").alias("id"), "_fold"), "id"), "near-duplicates")
-    for most in (FIRST_PAIRS, None):
-        sided = wide.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"), "_fold")
-        more = sided.repartition("key").sortWithinPartitions("key").mapInArrow(_between(similarity, most), "a bigint, b bigint").distinct()
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "near-duplicates")
-        if most is None and more.isEmpty():
-            break
-        links = materialize(links.union(_verified(more, _of_pairs(more, whole, text), verify)), "near-duplicates")
-        roots = materialize(connected_components(links, "a", "b"), "near-duplicates")
-        tried = tried.union(more)
-    return roots
+class _Verifier:
+    """Verifies candidate pairs on texts and keeps the components of the links found so far."""
+
+    def __init__(self, whole: DataFrame, text_col: str, shingle: int, similarity: float):
+        self.texts = whole.select("row", text_bytes(F.col("doc").getField(text_col)).alias("text"))
+        self.check = _verify(shingle, similarity)
+        self.links = self.roots = None
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends aren't connected yet."""
+        if self.roots is None:
+            return pairs
+        of = lambda end: self.roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Verify ``pairs`` (written tables); each text that they name is read once."""
+        ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        body = materialize(self.texts.join(ends, "row"), "near-duplicates")
+        of = lambda end: body.select(F.col("row").alias(end), F.col("text").alias("text_" + end))
+        with _text_batches(body.sparkSession):
+            found = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(self.check, "a bigint, b bigint")
+            new = materialize(found if self.links is None else found.union(self.links), "near-duplicates")
+        roots = connected_components(new, "a", "b")
+        release(*(t for t in (body, self.links, self.roots) if t is not None))
+        self.links, self.roots = new, roots
+
+
+def _similar_prints(distinct: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) by fingerprints: rows of an equal one with its first row, and the first
+    rows of those within ``NEAR_BITS``."""
+    first = materialize(distinct.groupBy("fp").agg(F.min("row").alias("least")), "near-duplicates")
+    equal = distinct.select("fp", "row").join(first, "fp").where("row > least").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    near = print_links(first.select(F.col("fp").alias("fp0")), NEAR_BITS).distinct()
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("least").alias("row_" + end))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    return materialize(equal.union(near), "near-duplicates")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row (that of the smallest id) of each group of near duplicates."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    m = 3
-    own = docs.columns
-    prints = [f"_fp{i}" for i in range(m)]
-    extra = {"_digest": T.BinaryType(), "_size": T.IntegerType(), "_fold": T.BinaryType(), "_prefix": T.BinaryType(), **{p: T.LongType() for p in prints}}
-    if clash := {c.lower() for c in own} & {*extra, "_row"}:
-        raise ValueError(f"columns {sorted(clash)} have names that this operator needs")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in extra.items())])
+    keep = lambda df: materialize(df, "near-duplicates")
+    sided = lambda df, end: df.select(F.col("row").alias(end), F.col("fold").alias("fold_" + end), F.col("size").alias("size_" + end))
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    schema = T.StructType([*boxed.schema.fields, *T._parse_datatype_string("digest binary, size int, fold binary, prefix binary, fp bigint").fields])
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text_col, shingle))
-    profile = _profile(to_arrow_schema(schema), own.index(text_col), m, shingle, similarity, common)
     with _text_batches(docs.sparkSession, PROFILE_ROWS):
-        whole = materialize(docs.mapInArrow(profile, schema).withColumn("_row", F.monotonically_increasing_id()), "near-duplicates")
-    keys = whole.select("_digest", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("one"))
-    texts = materialize(keys.groupBy("_digest").agg(F.min("one").alias("one")).select("one"), "near-duplicates")
-    distinct = whole.select("_row", "_size", "_prefix").where("_size > 0").join(texts.select(F.col("one.row").alias("_row")), "_row", "left_semi")
-    postings = distinct.mapInArrow(_postings, "key bigint, id bigint, size int, place int")
-    met = materialize(postings.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(similarity), "a bigint, b bigint, key bigint, size int, place int"), "near-duplicates")
-    pairs = materialize(met.where("b is not null").select("a", "b").distinct(), "near-duplicates")
+        whole = keep(boxed.mapInArrow(_profile(docs.columns.index(text_col), shingle, similarity, common), schema).withColumn("row", F.monotonically_increasing_id()))
+    own_id = F.col("doc").getField(id_col)
+    keys = whole.select("digest", F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), F.col("row").alias("row")).alias("one"))
+    texts = keep(keys.groupBy("digest").agg(F.min("one").alias("one")).select("one"))
+    distinct = whole.where("size > 0").join(texts.select(F.col("one.row").alias("row")), "row", "left_semi")
+
+    verifier = _Verifier(whole, text_col, shingle, similarity)
+    verifier.add(_similar_prints(distinct.select("row", "fp")))
+
+    rooted = distinct.select("row", "size", "prefix").join(verifier.roots.withColumnRenamed("node", "row"), "row", "left").select(F.col("row").alias("id"), "size", "prefix", F.coalesce("root", "row").alias("root"))
+    postings = rooted.mapInArrow(_postings, "key bigint, id bigint, size int, place int, root bigint")
+    met = keep(postings.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(similarity), "a bigint, b bigint, key bigint, size int, place int"))
+    pairs = keep(met.where("b is not null").select("a", "b").distinct())
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    facts = keep(whole.select("row", "fold", "size").join(ends, "row"))
+    near = pairs.join(sided(facts, "a"), "a").join(sided(facts, "b"), "b").select("a", "b", "fold_a", "size_a", "fold_b", "size_b").mapInArrow(_plausible(similarity), "a bigint, b bigint, far int")
+    near = keep(near)
+    release(pairs, facts)
+    both = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").union(near.select("b", "a", "far"))
+    chosen = both.groupBy("x").agg(F.min(F.struct("far", "y")).alias("near"), F.min("y").alias("least")).select("x", F.explode(F.array("near.y", "least")).alias("y"))
+    verifier.add(first := keep(chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    verifier.add(keep(verifier.apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"))))
+
     wide = met.where("b is null").select("key", F.col("a").alias("id"), "size", "place")
-    facts = ["_fold", "_size", *prints]
-    ends = _of_pairs(pairs, whole, *facts)
-    of = lambda end: ends.select(F.col("_row").alias(end), *(F.col(c).alias(c + end) for c in facts))
-    sided = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *(c + "a" for c in facts), *(c + "b" for c in facts))
-    pairs = materialize(sided.mapInArrow(_plausible(similarity, m), "a bigint, b bigint, bits int"), "near-duplicates")
-    roots = _linked(pairs, wide, whole, text_col, similarity, _verify(shingle, similarity))
-    grouped = texts.join(roots, texts.one.row == roots.node, "left").select("one", F.coalesce("root", "one.row").alias("root"))
-    kept = materialize(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.row").alias("_row")), "near-duplicates")
-    return whole.join(kept, "_row", "left_semi").select(*own)
+    if not wide.isEmpty():
+        wide = keep(wide.join(whole.select(F.col("row").alias("id"), "fold"), "id"))
+        tried = near.select("a", "b")
+        for most in (FIRST_PAIRS, None):
+            rooted = wide.join(verifier.roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"), "fold")
+            parts = _in_blocks(rooted).repartition("part").sortWithinPartitions("part")
+            more = parts.mapInArrow(_between(similarity, most), "a bigint, b bigint").distinct()
+            more = keep(more.join(tried, ["a", "b"], "left_anti"))
+            if more.isEmpty():
+                break
+            verifier.add(more)
+            tried = tried.union(more)
+        release(wide)
+    grouped = texts.join(verifier.roots, texts.one.row == verifier.roots.node, "left").select("one", F.coalesce("root", "one.row").alias("root"))
+    kept = keep(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.row").alias("row")))
+    release(met, near, first, texts)
+    return whole.join(kept, "row", "left_semi").select("doc.*")

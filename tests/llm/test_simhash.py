@@ -110,20 +110,6 @@ def test_near_duplicates_of_similarity_from_0_8_go_and_others_stay(spark):
     assert all(p in kept for p in low) and all(2 * i in kept for i in range(300))
 
 
-def test_sketch_estimates():
-    rng = np.random.default_rng(3)
-    words = [b"w%d" % i for i in rng.integers(0, 5000, 3000)]
-    other = list(words)
-    for i in range(0, 3000, 120):
-        other[i] = b"changed"
-    a, b = (set(simhash.shingle_hashes(w, 5).tolist()) for w in (words, other))
-    true = len(a & b) / len(a | b)
-    assert abs(simhash.estimate(simhash.sketch(words, 5), simhash.sketch(other, 5)) - true) < 0.2
-    assert simhash.estimate(simhash.sketch(words, 5), simhash.sketch(words, 5)) == 1 and simhash.estimate(simhash.sketch(words, 5), simhash.sketch([b"x%d" % i for i in range(900)], 5)) == 0
-    small = [b"a", b"b", b"c", b"d", b"e", b"f"]
-    assert simhash.estimate(simhash.sketch(small, 5), simhash.sketch(small[:5], 5)) == 0.5 and simhash.estimate(simhash.sketch([], 5), simhash.sketch([], 5)) == 0
-
-
 def _kept_by_brute_force(rows, similarity=0.8):
     sets = [(d, frozenset(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist())) for d, t in rows]
     return set(_brute_groups(sets, lambda a, b: len(a & b) >= similarity * len(a | b)))
@@ -162,9 +148,8 @@ def test_texts_of_equal_word_sets_do_not_hide_others(spark):
 
 
 def test_wide_runs_of_texts_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE_RUN", 3)
-    monkeypatch.setattr(simhash, "WIDE_KEY", 3, raising=False)
-    monkeypatch.setattr(simhash, "FIRST_PAIRS", 1, raising=False)
+    monkeypatch.setattr(simhash, "BETWEEN_ROWS", 16)  # runs here are wider than WIDE_KEY
+    monkeypatch.setattr(simhash, "FIRST_PAIRS", 1)
     rng = random.Random(10)
     rows = []
     for g in range(3):
@@ -178,3 +163,12 @@ def test_wide_runs_of_texts_lose_no_pair(spark, monkeypatch):
     want = _kept_by_brute_force(rows)
     assert 3 < len(want) < 150
     assert _kept(spark, rows) == want
+
+
+def test_equal_shingle_sets_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text, 1, "a"), (1, text + " " + text + " " + text, 2, "b"), (2, "unlike the others in every word", 3, "c"), (None, text, 4, "d")]
+    df = spark.createDataFrame(rows, "row long, doc string, digest int, _Root string")
+    out = simhash.drop_near_duplicates(df, id_col="row", text_col="doc")
+    assert out.columns == df.columns
+    assert {tuple(r) for r in out.collect()} == {rows[1], rows[2]}
