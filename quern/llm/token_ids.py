@@ -9,8 +9,10 @@ and of the blocks concerned.
 
 Order. Rows are range-partitioned by key and sorted inside each partition, so every file
 covers a key range and files follow each other by partition number; equal keys meet in one
-file. The driver sees one row for each file. Files of lost or repeated task attempts aren't
-in the manifest and are never read.
+file. Rows of Parquet files can instead keep the order in which they lie there (``in_place``):
+nothing is shuffled then, and each stretch of a file that a task reads gives one file. The
+driver sees one row for each file. Files of lost or repeated task attempts aren't in the
+manifest and are never read.
 
 Encoding gives what ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizers
 library gives. For a byte-level BPE that library spends most time on re-splitting words it
@@ -42,11 +44,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import filesystem, make_dir, materialize, shared_dir
+from quern.llm.common import filesystem, make_dir, materialize, release, setting, shared_dir
 
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 1 << 16
-RUN_BYTES = 8 << 20
+RUN_BYTES, BATCH_ROWS = 8 << 20, 2000
 CACHED_CHUNKS, CACHED_PIECES = 1_000_000, 200_000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
@@ -336,54 +338,88 @@ def _runs_of_texts(column: pa.Array) -> Iterator[list[str]]:
         yield run
 
 
+class _TokenFile:
+    """A file being written, and its row of the manifest."""
+
+    def __init__(self, store, root: str, place: tuple, encode, end_id: int, bits: bool, level: int):
+        self.name, self.place, self.encode, self.end = f"part-{uuid.uuid4().hex}.planes", place, encode, struct.pack("<I", end_id)
+        self.stream = store.open_output_stream(f"{root}/{self.name}", compression=None)
+        self.writer = PlaneWriter(self.stream, bits, level)
+        self.keys, self.sizes = [], []
+
+    def add(self, keys: pa.Array, texts: pa.Array) -> None:
+        self.keys.append(keys)
+        for run in _runs_of_texts(texts):
+            for raw in self.encode(run):
+                self.writer.add(raw)
+                self.writer.add(self.end)
+                self.sizes.append(len(raw) // 4 + 1)
+
+    def close(self) -> pa.RecordBatch:
+        self.writer.close(pa.RecordBatch.from_arrays([pa.concat_arrays(self.keys), pa.array(self.sizes, pa.int64())], ["key", "n"]))
+        self.stream.close()
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*self.place, self.name, sum(self.sizes), len(self.sizes))], ["source", "at", "file", "ids", "docs"])
+
+
 def _write_files(path: str, tokenizer, end_id: int, bits: bool, level: int):
+    """Files of (key, text), or of (key, text, source file, row in it)."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         store, root = filesystem(path)
-        writer, keys, sizes, total = None, [], [], 0
-        end = struct.pack("<I", end_id)
+        out, follows = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if writer is None:
-                encode = encoder(tokenizer.value).encode
-                name = f"part-{uuid.uuid4().hex}.planes"
-                stream = store.open_output_stream(f"{root}/{name}", compression=None)
-                writer = PlaneWriter(stream, bits, level)
-            keys.append(batch.column(0))
-            for texts in _runs_of_texts(batch.column(1)):
-                for raw in encode(texts):
-                    writer.add(raw)
-                    writer.add(end)
-                    sizes.append(len(raw) // 4 + 1)
-                    total += sizes[-1]
-        if writer is not None:
-            key = pa.concat_arrays(keys)
-            writer.close(pa.RecordBatch.from_arrays([key, pa.array(sizes, pa.int64())], ["key", "n"]))
-            stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (TaskContext.get().partitionId(), name, total, len(sizes))], ["part", "file", "ids", "docs"])
+            cuts = [0]
+            if batch.num_columns > 2:
+                at, sources = batch.column(3).to_numpy(), batch.column(2).to_pylist()
+                cuts += [i for i in range(1, len(at)) if at[i] != at[i - 1] + 1 or sources[i] != sources[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                place = (sources[a], int(at[a])) if batch.num_columns > 2 else ("", TaskContext.get().partitionId())
+                if out and batch.num_columns > 2 and place != follows:
+                    yield out.close()
+                    out = None
+                out = out or _TokenFile(store, root, place, encoder(tokenizer.value).encode, end_id, bits, level)
+                out.add(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
+                follows = (place[0], place[1] + b - a)
+        if out:
+            yield out.close()
+        pa.default_memory_pool().release_unused()
 
     return write
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, level: int = 3, order: list | None = None) -> list[tuple[str, int, int]]:
-    """Encode and write ``docs`` by ascending ``order`` (default: key, then text).
+def _file_order(name: str) -> tuple:
+    """Written files by their numbers, others by name."""
+    number = re.match(r"part-(\d+)", name)
+    return (int(number[1]) if number else -1, name)
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, level: int = 3, in_place: bool = False) -> list[tuple[str, int, int]]:
+    """Encode and write ``docs`` by ascending key, then text; with ``in_place`` in the order of
+    the files that they are read from (by the numbers in their names) and of the rows there.
 
     Returns (file, number of the ids before it, ids) for each file, in order.
     """
     make_dir(path)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
-    extra = {f"_o{i}": c for i, c in enumerate(order or [])}
-    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), *(c.alias(n) for n, c in extra.items()))
-    by = [F.col(n).asc_nulls_first() for n in extra] + [F.col("key").asc_nulls_first()]
-    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by, F.col("text").asc_nulls_first())
-    made = materialize(ordered.select("key", "text").mapInArrow(_write_files(path, tokenizer, end_id, bits, level), "part bigint, file string, ids bigint, docs bigint"), "token-manifest")
+    key, text = F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text")
+    if in_place:
+        origin = docs.metadataColumn("_metadata")
+        rows = docs.select(key, text, origin.getField("file_name").alias("source"), origin.getField("row_index").alias("at"))
+    else:
+        by = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
+        rows = docs.select(key, text).repartitionByRange(by[0]).sortWithinPartitions(*by)
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+        made = materialize(rows.mapInArrow(_write_files(path, tokenizer, end_id, bits, level), "source string, at bigint, file string, ids bigint, docs bigint"), "token-manifest")
     found, before = [], 0
-    for r in made.orderBy("part").collect():
+    for r in sorted(made.collect(), key=lambda r: (_file_order(r.source), r["at"])):
         found.append((r.file, before, r.ids))
         before += r.ids
+    release(made)
     return found
 
 
@@ -411,8 +447,8 @@ def read_token_files(spark: SparkSession, path: str, files: list[tuple[str, int,
     return listed.mapInArrow(_read_files(path), schema).withColumnRenamed("key", key_col)
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, order: list | None = None) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, in_place: bool = False) -> DataFrame:
     """Write ``docs`` as token files and read them back."""
     path = shared_dir(docs.sparkSession, "tokens")
-    files = write_token_files(docs, path, tokenizer_path, key_col, text_col, end_id, bits, order=order)
+    files = write_token_files(docs, path, tokenizer_path, key_col, text_col, end_id, bits, in_place=in_place)
     return read_token_files(docs.sparkSession, path, files, key_col, docs.schema[key_col].dataType)

@@ -89,6 +89,10 @@ def test_edges(spark, monkeypatch):
     got = mixing.mix(df, weights, block_rows=4)
     assert got.columns == ["doc_id", "source", "block", "slot", "position"]
     _check(docs, got.collect(), {s: whole[s] for s in ("hot", "b", None)}, 4)
+    order = [x for part in mixing.mix(df.where("doc_id is not null and doc_id <> 7"), weights, block_rows=4).sortWithinPartitions("position").rdd.glom().collect() for x in [[r.position for r in part]]]
+    assert sum(map(bool, order)) > 2 and [x for part in order for x in part] == sorted(x for part in order for x in part)  # partitions follow each other
     assert mixing.mix(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(i, "ab"[i % 2], 1, 2, 3) for i in range(50)], "doc_id long, source string, part int, n int, `a.b` int")
+    assert mixing.mix(odd, block_rows=4).columns == [*odd.columns, "block", "slot", "position"] and mixing.mix(odd).count() == 50
     with pytest.raises(ValueError):
         mixing.mix(df, {"hot": 0})

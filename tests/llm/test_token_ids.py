@@ -30,6 +30,9 @@ def test_encoder_equals_library(both):
             assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+ALPHABET = "aaabbb    ..,,'" + "\u65e5\U0001f600\u3000\x00\x0b\x1c\x85" + "".join(map(chr, [9, 10, 13, *range(32, 127), *range(161, 592)]))  # all that the fast path takes, and more
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab.,' \n\té日 1😀"), max_size=30), max_size=5))
 def test_encoder_equals_library_on_any_text(texts):
@@ -83,3 +86,16 @@ def test_edges(spark, both):
         got = token_table(df, op3.tokenizer_path(), "doc_id", "text", 2, bits).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == _expected(by, both[1])
     assert token_table(df.limit(0), op3.tokenizer_path(), "doc_id", "text", 2).count() == 0
+
+
+def test_in_place_keeps_the_order_of_files(spark, both, tmp_path):
+    rows = [((i * 7) % 100, f"text {i} " * (i % 5)) for i in range(100)]
+    for number, part in ((100_000, rows[60:]), (9, rows[:25]), (99_999, rows[25:60])):  # by number, not by name
+        df = spark.createDataFrame(part, "doc_id long, text string").coalesce(1)
+        df.write.option("parquet.block.size", 256).parquet(str(tmp_path / f"x{number}"))
+        (made,) = (tmp_path / f"x{number}").glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        made.rename(tmp_path / "all" / f"part-{number:05d}-c000.parquet")
+    docs = spark.read.parquet(str(tmp_path / "all"))
+    got = token_table(docs, op3.tokenizer_path(), "doc_id", "text", 2, in_place=True).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == _expected(rows, both[1])
