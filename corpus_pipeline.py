@@ -2,8 +2,8 @@
 
 ``run`` applies the stages to ``documents``; each stage's rows are written as Parquet to the
 session's shared folder and read again as the next one's. The mixing stage keeps all rows
-and gives them the order of the mixture, which lies in the order of its files and rows and
-in which the last stage writes the token ids.
+and gives them the order of the mixture. That lies in the numbers of its files and the places of
+the rows in them, and the last stage writes the token ids file by file without another shuffle.
 """
 
 from __future__ import annotations
@@ -42,19 +42,16 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: rows in the order of a Pfair schedule, larger sources by the square root of their size."""
-    order = mix(docs, block_rows=BLOCK_ROWS)
-    return order.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """Mixing: rows in the order of a Pfair schedule, larger sources by the square root of their size.
+    Partitions, and so the files written of them, follow each other in the mixture."""
+    return mix(docs, block_rows=BLOCK_ROWS).sortWithinPartitions("position").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in plane files, in the order of the mixture: doc_id, start, n_tokens, ids_crc32.
 
-    Rows that come from files keep the order of file names and rows; others that of doc_id."""
-    if docs.inputFiles():
-        docs = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        return token_table(docs, tokenizer_path(), "doc_id", "text", END_ID, order=[F.col("_file"), F.col("_row")])
-    return token_table(docs, tokenizer_path(), "doc_id", "text", END_ID)
+    ``docs`` is the mixture as read from its files."""
+    return token_table(docs, tokenizer_path(), "doc_id", "text", END_ID, in_place=True)
 
 
 STAGES = [
