@@ -26,8 +26,8 @@ rest by a prefix join. All shingles have one order (common ones, as counted in a
 else by hash; any order gives the same result), and two sets as similar have one of the first
 n - ceil(similarity n) + 1 of n shingles of each in common. A pair of such a run whose ends
 aren't connected yet goes on if sizes and places in the order leave room for the overlap, and
-if the sets' parities in ``FOLD`` bits differ in no more bits than the sets may differ in
-shingles; neither test loses a pair. The nearest are verified first, then what is still apart.
+if the sets' parities in ``FOLD`` bits a shingle differ in no more bits than the sets may differ
+in shingles; neither test loses a pair. The nearest are verified first, then what is still apart.
 Runs over ``WIDE_KEY`` members give two pairs a member at first, and then all pairs between
 different components, in blocks of ``BETWEEN_ROWS`` members, so that no task holds a run.
 
@@ -61,7 +61,7 @@ FIRST_PAIRS = 8  # of a member of a wide run, before all others
 SAMPLE = 16  # one text of so many is counted for the order of shingles
 COMMON = 6  # in the sample
 MAX_COMMON = 200_000
-FOLD = 1024
+FOLD = 4  # bits a shingle at least, in all a power of two
 NEAR_BITS = 2  # of the first pass
 BETWEEN_ROWS = 2048
 EPS = 1e-9
@@ -229,11 +229,27 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def folded(own: np.ndarray) -> bytes:
-    """Parities of a set of hashes in ``FOLD`` bits: an element more or less changes one bit."""
-    counts = np.bincount((own % np.uint64(FOLD)).astype("i8"), minlength=FOLD)
+    """Parities of a set of hashes, at least ``FOLD`` bits an element: one more or less changes one bit."""
+    size = max(64, 1 << (FOLD * len(own) - 1).bit_length()) if len(own) else 64
+    counts = np.bincount((own % np.uint64(size)).astype("i8"), minlength=size)
     return np.packbits((counts & 1).astype("u1")).tobytes()
 
 
+def parity_distances(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits parities differ, each pair in the shorter one's length."""
+    lengths = np.array([(len(a), len(b)) for a, b in zip(x, y)], "i8").reshape(-1, 2)
+    out = np.zeros(len(lengths), "i8")
+    for m, n in np.unique(lengths, axis=0).tolist():
+        at = np.flatnonzero((lengths == (m, n)).all(axis=1))
+        for i in range(0, len(at), max(1, (4 << 20) // max(m, n))):
+            part = at[i : i + max(1, (4 << 20) // max(m, n))]
+            a, b = (np.frombuffer(b"".join([z[k] for k in part.tolist()]), "<u8").reshape(len(part), -1) for z in (x, y))
+            short = min(m, n) // 8
+            a, b = (np.bitwise_xor.reduce(z.reshape(len(part), -1, short), axis=1) for z in (a, b))
+            out[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype="i8")
+    return out
+
+
 def prefix(own: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first elements of a sorted set, one of which every set as similar has among its own."""
     if not len(own):
@@ -375,13 +391,13 @@ def _between(similarity: float, most: int | None):
             names, of = np.unique(root, return_inverse=True)
             if len(names) == 1:
                 continue
-            bits = np.frombuffer(b"".join(table.column(5).to_pylist()), "<u8").reshape(len(ids), -1)
+            folds = table.column(5).to_pylist()
             largest = int(np.argmax(np.bincount(of)))
             a, b, held = [], [], 0
             for i in np.flatnonzero(of != largest).tolist():
                 j = np.flatnonzero((of != of[i]) & ((side != side[i]) | (side[i] == 2)) & _room(similarity, size[i], size, place[i], place))
                 j = j[(of[j] == largest) | (j > i)]
-                far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype="i8")
+                far = parity_distances([folds[i]] * len(j), [folds[k] for k in j.tolist()])
                 fit = far <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + EPS
                 j, far = j[fit], far[fit]
                 if most is not None and len(j) > most:
@@ -417,9 +433,8 @@ def _plausible(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(batch.num_rows, -1) for i in (2, 4))
             sizes = batch.column(3).to_numpy().astype("i8") + batch.column(5).to_numpy()
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype="i4")
+            far = parity_distances(batch.column(2).to_pylist(), batch.column(4).to_pylist()).astype("i4")
             kept = np.flatnonzero(far <= (1 - similarity) / (1 + similarity) * sizes + EPS)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(far[kept])], ["a", "b", "far"])
 

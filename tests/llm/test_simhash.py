@@ -172,3 +172,16 @@ def test_equal_shingle_sets_and_clashing_names(spark):
     out = simhash.drop_near_duplicates(df, id_col="row", text_col="doc")
     assert out.columns == df.columns
     assert {tuple(r) for r in out.collect()} == {rows[1], rows[2]}
+
+
+def test_parity_distances_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype="u8")) for n in (0, 1, 15, 16, 17, 100, 900, 5000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**64, len(s) // 5, dtype="u8")])) for s in sets]
+    pairs = [(a, b) for a in sets for b in sets]
+    far = simhash.parity_distances([simhash.folded(a) for a, _ in pairs], [simhash.folded(b) for _, b in pairs])
+    for (a, b), n in zip(pairs, far.tolist()):
+        true = len(set(a.tolist()) ^ set(b.tolist()))
+        assert n <= true and (true - n) % 2 == 0
+        if 0.9 * len(a) < len(b) < 1.1 * len(a):
+            assert n >= true / 2
