@@ -31,6 +31,10 @@ in shingles; neither test loses a pair. The nearest are verified first, then wha
 Runs over ``WIDE_KEY`` members give two pairs a member at first, and then all pairs between
 different components, in blocks of ``BETWEEN_ROWS`` members, so that no task holds a run.
 
+The texts are written once, in the partitions in which they come, and stay there: a row's number
+tells its partition, so what is found about rows is filed by partition and looked up by the task
+that reads it (``_found``). Only texts that a candidate pair names are shuffled.
+
 Edge cases: null and empty texts (and those of white space) have fingerprint zero and form
 one group; fewer words than a shingle give one shingle; repeated rows are copies; a null id
 never names a group unless it has no other; empty tables give empty results; ``drop_near_duplicates``
@@ -44,14 +48,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import materialize, release, setting, text_bytes
+from quern.llm.common import filesystem, materialize, release, setting, shared_dir, text_bytes
 from quern.llm.components import connected_components
 
 SEED = 42
@@ -64,6 +71,7 @@ MAX_COMMON = 200_000
 FOLD = 4  # bits a shingle at least, in all a power of two
 NEAR_BITS = 2  # of the first pass
 BETWEEN_ROWS = 2048
+PARTITION_SHIFT = 33  # of monotonically_increasing_id
 EPS = 1e-9
 TEXT_ROWS = 64  # of an Arrow batch with two texts a row
 PROFILE_ROWS = 500  # of one with one text a row
@@ -463,6 +471,36 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
+def _found(rows: DataFrame) -> Column:
+    """A column of the written texts by ``row``: the value that ``rows`` (row, value; each row once)
+    has for it, or -1. The values of one partition of the texts lie in one file."""
+    path = shared_dir(rows.sparkSession, "rows")
+    filed = rows.select("row", F.col("value").cast("bigint").alias("value"), F.shiftright("row", PARTITION_SHIFT).alias("part"))
+    with setting(rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        filed.repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(path)
+
+    @F.pandas_udf("bigint")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        store, root = filesystem(path)
+        at, known, values = None, None, None
+        for batch in batches:
+            asked = batch.to_numpy()
+            out = np.full(len(asked), -1, "i8")
+            parts = asked >> PARTITION_SHIFT
+            for part in np.unique(parts).tolist():
+                if part != at:
+                    folder = pa.fs.FileSelector(f"{root}/part={part}", allow_not_found=True)
+                    tables = [pq.read_table(f.path, filesystem=store, partitioning=None, columns=["row", "value"]) for f in store.get_file_info(folder) if f.path.endswith(".parquet")]
+                    at, (known, values) = part, [np.concatenate([t.column(i).to_numpy() for t in tables] or [np.zeros(0, "i8")]) for i in (0, 1)]
+                if len(known):
+                    here = np.flatnonzero(parts == part)
+                    place = np.minimum(np.searchsorted(known, asked[here]), len(known) - 1)
+                    out[here] = np.where(known[place] == asked[here], values[place], -1)
+            yield pd.Series(out)
+
+    return look("row")
+
+
 class _Verifier:
     """Verifies candidate pairs on texts and keeps the components of the links found so far."""
 
@@ -473,15 +511,12 @@ class _Verifier:
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends aren't connected yet."""
-        if self.roots is None:
-            return pairs
         of = lambda end: self.roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
     def add(self, pairs: DataFrame) -> None:
-        """Verify ``pairs`` (written tables); each text that they name is read once."""
-        ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        body = materialize(self.texts.join(ends, "row"), "near-duplicates")
+        """Verify ``pairs`` (a written table)."""
+        body = materialize(_named(self.texts, pairs), "near-duplicates")
         of = lambda end: body.select(F.col("row").alias(end), F.col("text").alias("text_" + end))
         with _text_batches(body.sparkSession):
             found = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(self.check, "a bigint, b bigint")
@@ -491,6 +526,12 @@ class _Verifier:
         self.links, self.roots = new, roots
 
 
+def _named(of_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows that are an end of a pair."""
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().withColumn("value", F.lit(1))
+    return of_rows.withColumn("found", _found(ends)).where("found >= 0").drop("found")
+
+
 def _similar_prints(distinct: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) by fingerprints: rows of an equal one with its first row, and the first
     rows of those within ``NEAR_BITS``."""
@@ -505,28 +546,28 @@ def _similar_prints(distinct: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row (that of the smallest id) of each group of near duplicates."""
     keep = lambda df: materialize(df, "near-duplicates")
-    sided = lambda df, end: df.select(F.col("row").alias(end), F.col("fold").alias("fold_" + end), F.col("size").alias("size_" + end))
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     schema = T.StructType([*boxed.schema.fields, *T._parse_datatype_string("digest binary, size int, fold binary, prefix binary, fp bigint").fields])
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text_col, shingle))
     with _text_batches(docs.sparkSession, PROFILE_ROWS):
         whole = keep(boxed.mapInArrow(_profile(docs.columns.index(text_col), shingle, similarity, common), schema).withColumn("row", F.monotonically_increasing_id()))
     own_id = F.col("doc").getField(id_col)
-    keys = whole.select("digest", F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), F.col("row").alias("row")).alias("one"))
-    texts = keep(keys.groupBy("digest").agg(F.min("one").alias("one")).select("one"))
-    distinct = whole.where("size > 0").join(texts.select(F.col("one.row").alias("row")), "row", "left_semi")
+    keys = whole.select("digest", "size", "fp", F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), F.col("row").alias("row")).alias("one"))
+    texts = keep(keys.groupBy("digest").agg(F.min("one").alias("one"), F.first("size").alias("size"), F.first("fp").alias("fp")).drop("digest"))
 
     verifier = _Verifier(whole, text_col, shingle, similarity)
-    verifier.add(_similar_prints(distinct.select("row", "fp")))
+    verifier.add(_similar_prints(texts.where("size > 0").select("one.row", "fp")))
 
-    rooted = distinct.select("row", "size", "prefix").join(verifier.roots.withColumnRenamed("node", "row"), "row", "left").select(F.col("row").alias("id"), "size", "prefix", F.coalesce("root", "row").alias("root"))
-    postings = rooted.mapInArrow(_postings, "key bigint, id bigint, size int, place int, root bigint")
+    def rooted(rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(verifier.roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+
+    roots = rooted(texts.where("size > 0").select("one.row"), "row").withColumnRenamed("root", "value")
+    postings = whole.select(F.col("row").alias("id"), "size", "prefix", _found(roots).alias("root")).where("root >= 0").mapInArrow(_postings, "key bigint, id bigint, size int, place int, root bigint")
     met = keep(postings.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(similarity), "a bigint, b bigint, key bigint, size int, place int"))
     pairs = keep(met.where("b is not null").select("a", "b").distinct())
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    facts = keep(whole.select("row", "fold", "size").join(ends, "row"))
-    near = pairs.join(sided(facts, "a"), "a").join(sided(facts, "b"), "b").select("a", "b", "fold_a", "size_a", "fold_b", "size_b").mapInArrow(_plausible(similarity), "a bigint, b bigint, far int")
-    near = keep(near)
+    facts = keep(_named(whole.select("row", "fold", "size"), pairs))
+    of = lambda end: facts.select(F.col("row").alias(end), F.col("fold").alias("fold_" + end), F.col("size").alias("size_" + end))
+    near = keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "fold_a", "size_a", "fold_b", "size_b").mapInArrow(_plausible(similarity), "a bigint, b bigint, far int"))
     release(pairs, facts)
     both = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").union(near.select("b", "a", "far"))
     chosen = both.groupBy("x").agg(F.min(F.struct("far", "y")).alias("near"), F.min("y").alias("least")).select("x", F.explode(F.array("near.y", "least")).alias("y"))
@@ -535,11 +576,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     wide = met.where("b is null").select("key", F.col("a").alias("id"), "size", "place")
     if not wide.isEmpty():
-        wide = keep(wide.join(whole.select(F.col("row").alias("id"), "fold"), "id"))
+        facts = _named(whole.select("row", "fold"), wide.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        wide = keep(wide.join(facts.withColumnRenamed("row", "id"), "id"))
         tried = near.select("a", "b")
         for most in (FIRST_PAIRS, None):
-            rooted = wide.join(verifier.roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"), "fold")
-            parts = _in_blocks(rooted).repartition("part").sortWithinPartitions("part")
+            parts = _in_blocks(rooted(wide, "id")).repartition("part").sortWithinPartitions("part")
             more = parts.mapInArrow(_between(similarity, most), "a bigint, b bigint").distinct()
             more = keep(more.join(tried, ["a", "b"], "left_anti"))
             if more.isEmpty():
@@ -547,7 +588,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             verifier.add(more)
             tried = tried.union(more)
         release(wide)
-    grouped = texts.join(verifier.roots, texts.one.row == verifier.roots.node, "left").select("one", F.coalesce("root", "one.row").alias("root"))
-    kept = keep(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.row").alias("row")))
+    grouped = rooted(texts.withColumn("row", F.col("one.row")), "row").groupBy("root").agg(F.min("one").alias("one"))
+    kept = grouped.select("one.row", F.lit(1).alias("value"))
+    out = whole.withColumn("found", _found(kept)).where("found >= 0").select("doc.*")
     release(met, near, first, texts)
-    return whole.join(kept, "row", "left_semi").select("doc.*")
+    return out
