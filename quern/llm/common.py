@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,6 +63,12 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def byte_bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be passed to Python: its session's Arrow batches are held to ``BATCH_BYTES`` (or one row)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path inside it) of a URI or plain path."""
     from pyarrow import fs

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import materialize, text_bytes
+from quern.llm.common import byte_bounded, materialize, text_bytes
 
 BLOCK_BYTES = 2 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -138,10 +138,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         some = items.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
         listed = [(r.id, bytes(r.text)) for r in some.collect()]
         vocabulary = sc.broadcast({w for _, t in listed for w in words_of(t)})
-        counted = docs.select(text_bytes(F.col(text_col)).alias("text")).mapInArrow(_count_words(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = byte_bounded(docs.select(text_bytes(F.col(text_col)).alias("text"))).mapInArrow(_count_words(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         frequency = {bytes(r.word): r.n for r in counted.collect()}  # of this block's words alone
         index = sc.broadcast(PrefixIndex(listed, window, frequency))
-        found = found.mapInArrow(_search(index, kept.index(text_col), schema), out)
+        found = byte_bounded(found).mapInArrow(_search(index, kept.index(text_col), schema), out)
         if block < n_blocks - 1:
             found = materialize(found, "decontamination")
     return found

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import materialize, text_bytes
+from quern.llm.common import byte_bounded, materialize, text_bytes
 from quern.llm.url_filter import split_url
 
 GRAM_BITS = 15
@@ -156,7 +156,7 @@ def evidence(pages: DataFrame, model: LanguageModel, url_col: str, html_col: str
     host, _ = split_url(F.col(url_col))
     rows = pages.select(*kept, F.coalesce(host, F.lit("")).alias("host"), text_bytes(F.col(html_col)).alias("_html"))
     schema = T.StructType([*rows.drop("_html").schema.fields, T.StructField("declared", T.StringType()), T.StructField("_text", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(_evidence(pages.sparkSession.sparkContext.broadcast(model), rows.columns.index("_html"), to_arrow_schema(schema)), schema)
+    return byte_bounded(rows).mapInArrow(_evidence(pages.sparkSession.sparkContext.broadcast(model), rows.columns.index("_html"), to_arrow_schema(schema)), schema)
 
 
 def identify(pages: DataFrame, model: LanguageModel, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import filesystem, make_dir, materialize, text_bytes
+from quern.llm.common import byte_bounded, filesystem, make_dir, materialize, text_bytes
 
 UNIT, WIDTH = 192, 64
 SHARD_BYTES = 256 << 20
@@ -118,7 +118,7 @@ def write_media(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataF
     """Store every text below ``path``: (id, digest, shard, offset, length, n_bytes)."""
     make_dir(path)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(n, t) for n, t in (("digest", T.StringType()), ("shard", T.StringType()), ("offset", T.LongType()), ("length", T.LongType()), ("n_bytes", T.LongType()))])
-    return materialize(docs.select(F.col(id_col).alias("id"), text_bytes(F.col(text_col)).alias("text")).mapInArrow(_write(path), schema), "media")
+    return materialize(byte_bounded(docs.select(F.col(id_col).alias("id"), text_bytes(F.col(text_col)).alias("text"))).mapInArrow(_write(path), schema), "media")
 
 
 def payload_index(media: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import filesystem, materialize, release, setting, shared_dir, text_bytes
+from quern.llm.common import byte_bounded, filesystem, materialize, release, setting, shared_dir, text_bytes
 from quern.llm.components import connected_components
 
 SEED = 42
@@ -226,7 +226,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
     texts = docs.select(F.col(id_col).alias("id"), text_bytes(F.col(text_col)).alias("text"))
     with _text_batches(docs.sparkSession, PROFILE_ROWS):
-        prints = materialize(texts.mapInArrow(_fingerprints(shingle), schema), "simhash")
+        prints = materialize(byte_bounded(texts).mapInArrow(_fingerprints(shingle), schema), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash")
     roots = connected_components(print_links(distinct.select(F.col("fp").alias("fp0")), max_bits), "a", "b")
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -283,7 +283,7 @@ def _common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.n
     """Sorted hashes of common shingles and their ranks from 1, the most common last."""
     text = text_bytes(F.col(text_col))
     some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = some.mapInArrow(_shingle_rows(shingle), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    counts = byte_bounded(some).mapInArrow(_shingle_rows(shingle), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     rows = counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()
     hashes = rows.column("h").to_numpy().view("<u8")
     order = np.argsort(hashes)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import filesystem, make_dir, materialize, release, setting, shared_dir
+from quern.llm.common import byte_bounded, filesystem, make_dir, materialize, release, setting, shared_dir
 
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 1 << 16
@@ -414,7 +414,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col:
         by = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
         rows = docs.select(key, text).repartitionByRange(by[0]).sortWithinPartitions(*by)
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
-        made = materialize(rows.mapInArrow(_write_files(path, tokenizer, end_id, bits, level), "source string, at bigint, file string, ids bigint, docs bigint"), "token-manifest")
+        made = materialize(byte_bounded(rows).mapInArrow(_write_files(path, tokenizer, end_id, bits, level), "source string, at bigint, file string, ids bigint, docs bigint"), "token-manifest")
     found, before = [], 0
     for r in sorted(made.collect(), key=lambda r: (_file_order(r.source), r["at"])):
         found.append((r.file, before, r.ids))

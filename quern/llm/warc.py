@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
-from quern.llm.common import filesystem, make_dir, materialize, text_bytes
+from quern.llm.common import byte_bounded, filesystem, make_dir, materialize, text_bytes
 
 RECORD_PREFIX = "urn:quern:record:"
 DATE = "1970-01-01T00:00:00Z"
@@ -121,7 +121,7 @@ def write_warc(rows: DataFrame, path: str, id_col: str, url_col: str, payload_co
     linked = base.join(firsts, "sha1", "left")
     small = F.length("payload") < min_revisit_bytes
     linked = linked.select("id", "url", "payload", F.when(~small & ~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("first"))
-    made = linked.mapInArrow(_writer(path, level, date), "file string, bytes bigint, records bigint, splits array<bigint>")
+    made = byte_bounded(linked).mapInArrow(_writer(path, level, date), "file string, bytes bigint, records bigint, splits array<bigint>")
     return materialize(made, "warc-manifest")
 
 
