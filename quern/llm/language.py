@@ -23,14 +23,15 @@ no task more than its share; the join back on the host is one that AQE splits.
 Edge cases: null or empty markup has no text and no declaration: address and corpus decide;
 a null address or one without ``://`` has the empty host, which such pages share; repeated
 rows are judged apart; unlabelled and null labels train nothing; without any label
-every language is null with posterior 0; an empty table gives an empty result; result
-columns replace input columns of their names.
+every language is null with posterior 0; an empty table gives an empty result; input columns
+can have any names, and those called like a result are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,8 +51,10 @@ SPAN = 20.0
 SMOOTHING = 5.0
 RESULTS = ("host", "declared", "text_language", "language", "posterior")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]{2,3})""", re.I)
+_ENTITY = re.compile(r"<!--|<(script|style)\b", re.I)
+_CLOSERS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
+_HTML = re.compile(r"<html\b", re.I)
+_DECLARED = re.compile(r"""\blang\s*+=\s*+["']?\s*+([A-Za-z]{2,3})""", re.I)
 
 
 def grams(text: str) -> np.ndarray:
@@ -63,13 +66,47 @@ def grams(text: str) -> np.ndarray:
     return ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
 
 
+def without_markup(markup: str) -> str:
+    """Comments, script and style elements and tags become spaces; what isn't closed is a tag or text.
+    Each end is searched for once, so the time is in proportion to the length."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    out, at, no_comment_end = [], 0, False
+    while (start := markup.find("<", at)) >= 0:
+        end = -1
+        if opened := _ENTITY.match(markup, start):
+            name = opened[1] and opened[1].lower()
+            if name is None:
+                end = -1 if no_comment_end else markup.find("-->", start + 4)
+                no_comment_end |= end < 0
+                end = end + 3 if end >= 0 else -1
+            else:
+                closers = ends.get(name)
+                if closers is None:
+                    closers = ends[name] = [m.span() for m in _CLOSERS[name].finditer(markup)]
+                k = bisect_left(closers, (opened.end(), 0))
+                end = closers[k][1] if k < len(closers) else -1
+        if end < 0:
+            end = markup.find(">", start) + 1
+            if not end:
+                break
+        out += [markup[at:start], " "]
+        at = end
+    return "".join([*out, markup[at:]])
+
+
 def visible_text(markup: str) -> str:
-    return html.unescape(_DROPPED.sub(" ", markup))
+    return html.unescape(without_markup(markup))
 
 
 def declared_language(markup: str) -> str | None:
-    found = _DECLARED.search(markup)
-    return found.group(1).lower() if found else None
+    at = 0
+    while tag := _HTML.search(markup, at):
+        end = markup.find(">", tag.end())
+        end = len(markup) if end < 0 else end
+        if found := _DECLARED.search(markup, tag.end(), end):
+            return found.group(1).lower()
+        at = end
+    return None
 
 
 @dataclass
@@ -112,7 +149,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     for name in names:
         below = F.when(F.col("language") == name, F.lit(min(1.0, per_language / sizes[name]))).otherwise(below)
     share = (F.col("h") / 2.0**64) + 0.5
-    counted = known.where(share <= below).select("language", "text").mapInArrow(_count, "language string, gram int, n bigint")
+    counted = byte_bounded(known.where(share <= below).select("language", "text")).mapInArrow(_count, "language string, gram int, n bigint")
     counts = np.zeros((GRAMS, len(names)))
     for r in counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r.gram, names.index(r.language)] = r.n
@@ -149,12 +186,12 @@ def _smoothed(counts: str, above: Column) -> Column:
 
 
 def evidence(pages: DataFrame, model: LanguageModel, url_col: str, html_col: str) -> DataFrame:
-    """``pages`` without the markup, with host, declared and _text (posterior of the text alone)."""
+    """(page, host, declared, _text): the kept columns as one, and the posterior of the text alone."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = [c for c in pages.columns if c.lower() not in (*RESULTS, "_text") and c != html_col]
-    host, _ = split_url(F.col(url_col))
-    rows = pages.select(*kept, F.coalesce(host, F.lit("")).alias("host"), text_bytes(F.col(html_col)).alias("_html"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in RESULTS and c != html_col]
+    host, _ = split_url(F.col(f"`{url_col}`"))
+    rows = pages.select(F.struct(*kept).alias("page"), F.coalesce(host, F.lit("")).alias("host"), text_bytes(F.col(f"`{html_col}`")).alias("_html"))
     schema = T.StructType([*rows.drop("_html").schema.fields, T.StructField("declared", T.StringType()), T.StructField("_text", T.ArrayType(T.DoubleType()))])
     return byte_bounded(rows).mapInArrow(_evidence(pages.sparkSession.sparkContext.broadcast(model), rows.columns.index("_html"), to_arrow_schema(schema)), schema)
 
@@ -163,9 +200,8 @@ def identify(pages: DataFrame, model: LanguageModel, url_col: str = "url", html_
     """``pages`` without its markup column, with the columns ``RESULTS``."""
     n = len(model.languages)
     rows = materialize(evidence(pages, model, url_col, html_col), "languages")
-    own = [c for c in rows.columns if c not in ("host", "declared", "_text")]
     if not n:
-        return rows.select(*own, "host", "declared", *(F.lit(None).cast("string").alias(c) for c in ("text_language", "language")), F.lit(0.0).alias("posterior"))
+        return rows.select("page.*", "host", "declared", *(F.lit(None).cast("string").alias(c) for c in ("text_language", "language")), F.lit(0.0).alias("posterior"))
     names = F.array(*map(F.lit, model.languages))
     last = lambda k: F.array_join(F.slice(F.reverse(F.split("host", r"\.")), 1, k), ".")
     hosts = rows.groupBy("host").agg(_sums("_text", n).alias("c_host")).withColumns({"suffix": last(1), "domain": last(2)})
@@ -191,4 +227,4 @@ def identify(pages: DataFrame, model: LanguageModel, url_col: str = "url", html_
     best = F.array_max(F.transform(F.arrays_zip("_joint"), lambda z, i: F.struct(z["_joint"].alias("p"), (-i).alias("at"))))
     text_best = F.array_max(F.transform("_text", lambda p, i: F.struct(p.alias("p"), (-i).alias("at"))))
     total = F.aggregate("_joint", F.lit(0.0), lambda a, x: a + x)
-    return scored.select(*own, "host", "declared", F.element_at(names, 1 - text_best["at"]).alias("text_language"), F.element_at(names, 1 - best["at"]).alias("language"), F.round(best["p"] / total, 6).alias("posterior"))
+    return scored.select("page.*", "host", "declared", F.element_at(names, 1 - text_best["at"]).alias("text_language"), F.element_at(names, 1 - best["at"]).alias("language"), F.round(best["p"] / total, 6).alias("posterior"))

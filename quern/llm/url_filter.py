@@ -8,13 +8,15 @@ probed against a blocked Bloom filter (one 256-bit block a key, eight bits in it
 passes meets the entries in an equality join, so false positives leave no trace. Among
 the rules that fit the longest wins; a canonical URL counts where no rule fits.
 
-The filter is a table of blocks. It is joined by block number, so it is broadcast only
-while Spark's own size check allows it and shuffled beyond that; nothing is collected but
+The filter is a table of at most ``MAX_BLOCKS`` blocks, so it is always small enough to be
+broadcast and probed where the addresses are read. A list too long for it makes the filter
+less selective, which the exact join bears; no result depends on it. Nothing is collected but
 the distinct rule path lengths (at most ``MAX_LENGTHS`` integers).
 
 Edge cases: a null URL or one without ``://`` has empty host and path and fits nothing;
 repeated rows are judged alike; an empty list allows all; empty input gives an empty
-result; columns of the input keep their values, and clashing ones are replaced.
+result; columns of the input keep their values, whatever their names, and those called like
+a result (host, path, rule, verdict) are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import ascii_lower
 
 MAX_LENGTHS = 4096
+MAX_BLOCKS = 1 << 18  # 8 MB of bits
 BITS_PER_KEY = 16
 
 
@@ -61,7 +64,7 @@ def may_contain(candidates: DataFrame, blocks: DataFrame, n_blocks: int) -> Data
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
-    return candidates.withColumn("block", block).join(blocks, "block").where(hit).drop("block", *(f"w{i}" for i in range(8)))
+    return candidates.withColumn("block", block).join(F.broadcast(blocks), "block").where(hit).drop("block", *(f"w{i}" for i in range(8)))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, url_col: str = "url") -> DataFrame:
@@ -69,9 +72,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
 
     rules: (host, path, verdict); listed: (url_key, verdict) with keys as of ``canonical``.
     """
-    spark = pages.sparkSession
-    host, path = split_url(F.col(url_col))
-    base = pages.withColumns({"host": host, "path": path})
+    host, path = split_url(F.col(f"`{url_col}`"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    base = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("page"), host.alias("host"), path.alias("path"))
     ruled = rules.select(F.concat("host", "path").alias("key"), F.col("verdict").alias("entry_verdict"), F.lit(1).alias("kind"), F.length("path").alias("n"))
     entries = ruled
     if listed is not None:
@@ -80,7 +83,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     lengths = [r.n for r in ruled.where("n is not null").select("n").distinct().limit(MAX_LENGTHS + 1).collect()]
     if len(lengths) > MAX_LENGTHS:
         raise ValueError(f"rules have paths of more than {MAX_LENGTHS} lengths")
-    n_blocks = max(1, entries.count() * BITS_PER_KEY // 256 + 1)
+    n_blocks = min(MAX_BLOCKS, entries.count() * BITS_PER_KEY // 256 + 1)
     address = base.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -90,6 +93,5 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     candidates = address.select("host", "path", F.explode(keys).alias("key"))
     hits = may_contain(candidates, bloom_blocks(entries.select("key"), n_blocks), n_blocks).join(entries.drop("n"), "key")
     best = hits.groupBy("host", "path").agg(F.max(F.struct("kind", F.length("key").alias("long"), "key", "entry_verdict")).alias("best"))
-    out = base.join(best, ["host", "path"], "left")
-    out = out.withColumns({"rule": F.when(F.col("best.kind") == 1, F.col("best.key")), "verdict": F.coalesce("best.entry_verdict", F.lit("allow"))}).drop("best")
-    return out.select(*[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict")
+    rule = F.when(F.col("best.kind") == 1, F.col("best.key"))
+    return base.join(best, ["host", "path"], "left").select("page.*", "host", "path", rule.alias("rule"), F.coalesce("best.entry_verdict", F.lit("allow")).alias("verdict"))

@@ -1,4 +1,9 @@
+import re
+import time
+
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quern.llm import language as lang
 from quern.llm import op10
@@ -23,6 +28,30 @@ def test_extraction():
     assert (lang.grams("Été") == lang.grams("été")).all()
 
 
+_PATTERN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "<!--", "-->", "<script", "<STYLE>", "</script >", "</style>", "</Script", "a", " ", "<p>", "scripty", "--", "!"]), max_size=25))
+def test_scanner_equals_the_pattern(parts):
+    markup = "".join(parts)
+    assert lang.without_markup(markup) == _PATTERN.sub(" ", markup)
+
+
+def test_bad_markup_takes_time_in_proportion():
+    for part in ("<script>", "<!--", "<", "<html", "<html lang=", "<style></script>"):
+        began = time.perf_counter()
+        lang.visible_text(part * 100_000)
+        lang.declared_language(part * 100_000 + " " * 100_000)
+        assert time.perf_counter() - began < 5, part
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "http://a.b/", WORDS["aa"], 2, 3, 4)], "page int, url string, html string, _text int, c_host int, `a.b` int")
+    got = lang.identify(df, _model(spark))
+    assert got.columns == ["page", "url", "_text", "c_host", "a.b", *lang.RESULTS] and got.first().language == "aa"
+
+
 def test_training_counts(spark):
     model = _model(spark)
     assert model.languages == ["aa", "bb"] and np.allclose(np.exp(model.log_p).sum(axis=0), 1)

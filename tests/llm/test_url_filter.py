@@ -1,7 +1,7 @@
 import pytest
 
 from quern.llm import url_filter as uf
-from quern.llm.op6 import LISTED, RULES, op6_url_filter
+from quern.llm.op6 import LISTED, LISTED_WORDS, RULES, op6_url_filter
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,5 +57,19 @@ def test_empty(spark, case):
 
 
 def test_query(spark):
-    truth = {r.page_id: _judge(r.url) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    keys = {r.page_id: _judge(r.url)[:2] for r in pages}
+    listed = {(h[4:] if h.startswith("www.") else h) + p.rstrip("/") for h, p in keys.values() if any(w in h for w in LISTED_WORDS)} | {*LISTED}
+    truth = {r.page_id: _judge(r.url, listed=listed) for r in pages}
+    assert any(v == "block" and rule is None for _, _, rule, v in truth.values())
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op6_url_filter(spark, SF).collect()} == truth
+
+
+def test_any_column_names_and_a_filter_too_small(spark, monkeypatch):
+    monkeypatch.setattr(uf, "MAX_BLOCKS", 1)
+    pages = spark.createDataFrame([(i, u, 1, 2, 3, 4) for i, u in enumerate(URLS)], "page long, url string, best int, key int, Host int, `a.b` int")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame([(u, "block") for u in LISTED], "url_key string, verdict string")
+    got = uf.url_filter(pages, rules, listed)
+    assert got.columns == ["page", "url", "best", "key", "a.b", "host", "path", "rule", "verdict"]
+    assert sorted((r.page, r.verdict) for r in got.collect()) == sorted((i, _judge(u)[3]) for i, u in enumerate(URLS))
