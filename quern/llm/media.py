@@ -4,12 +4,13 @@ A payload is stored as a PNG of 8-bit RGB samples, 64 pixels (192 bytes) a row,
 member named by the payload's SHA-256. Each task appends to shards of its own, so writing
 needs no shuffle, and holds no payload twice in a shard: rows with equal payloads share a
 byte range. Shard names are new for each attempt and only those in the returned manifest
-are ever read. ``payload_index`` gives one place for each digest over all shards.
+are ever read. Rows carry (digest, shard, offset, length).
 
-Rows carry (digest, shard, offset, length). ``media_headers`` fills width, height, depth
-and channels by reading the 33 header bytes of a range; ``media_features`` reads whole
-ranges, restores the payload and checks it against its digest. Both deal rows out by
-stretches of a shard, so a task reads neighbouring ranges and hot payloads are shared out.
+``one_place`` then lets all rows of a digest share one range over all shards. ``media_headers``
+fills width, height, depth and channels by reading the 33 header bytes of a range;
+``media_features`` reads whole ranges, restores the payload and checks it against its digest.
+Rows are dealt out by stretches of a shard, so a task reads neighbouring ranges and hot payloads
+are shared out.
 
 Edge cases: a null text is an empty one; an empty payload is one row of 192 spaces;
 repeated rows and ids are all returned; an empty table gives no shard and an empty result;
@@ -126,6 +127,11 @@ def payload_index(media: DataFrame) -> DataFrame:
     return media.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
+def one_place(media: DataFrame) -> DataFrame:
+    """``media`` with the place that ``payload_index`` gives each digest, a written table."""
+    return materialize(media.drop("shard", "offset", "length").join(payload_index(media), "digest"), "media")
+
+
 def _dealt(media: DataFrame) -> DataFrame:
     return media.repartition("shard", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("shard", "offset")
 
@@ -162,25 +168,25 @@ def _plus(media: DataFrame, spec: str) -> T.StructType:
 
 
 def media_headers(media: DataFrame, path: str) -> DataFrame:
-    """``media`` with width, height, depth and channels, from header bytes alone."""
+    """``media`` with width, height, depth and channels, from header bytes alone; dealt out by place."""
     spec = "width bigint, height bigint, depth bigint, channels bigint"
     parse = lambda data, _: png_header(data)
     return _dealt(media).mapInArrow(_ranges(path, parse, HEADER_BYTES, [pa.int64()] * 4, ["width", "height", "depth", "channels"]), _plus(media, spec))
 
 
 def features(data: bytes, digest: str) -> tuple:
-    width, height, depth, channels = png_header(data)
+    channels = png_header(data)[3]
     payload = from_png(data)
     sha = hashlib.sha256(payload).hexdigest()
     if sha != digest:
         raise ValueError(f"payload {digest} is damaged")
     means = np.frombuffer(payload, "u1").reshape(-1, channels).mean(axis=0, dtype="f8")
-    feature = f"png {width}x{height} {channels}x{depth} mean {','.join(f'{m:.2f}' for m in means)}"
-    return len(payload), sha, zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
+    return len(payload), sha, zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(f"{m:.2f}" for m in means)
 
 
-def media_features(media: DataFrame, path: str) -> DataFrame:
-    """``media`` with what the whole stored bytes give."""
-    spec = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+def media_features(headed: DataFrame, path: str) -> DataFrame:
+    """``headed`` (of ``media_headers``) with what the whole stored bytes give."""
+    spec = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, means string"
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return _dealt(media).mapInArrow(_ranges(path, features, None, types, [f.split()[0] for f in spec.split(", ")]), _plus(media, spec))
+    found = headed.mapInArrow(_ranges(path, features, None, types, [f.split()[0] for f in spec.split(", ")]), _plus(headed, spec))
+    return found.withColumn("feature", F.format_string("png %dx%d %dx%d mean %s", "width", "height", "channels", "depth", "means")).drop("means")

@@ -48,3 +48,17 @@ def test_query_has_no_python_on_executors(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
     assert frame.where("status = 'linked'").count() > 0
+
+
+def test_canonical_json(spark):
+    same = [["1", "1.0", "1e0", "10e-1"], ["100", "1e2", "1E+2"], ["0", "-0", "0.0", "0e9"], ["1e-7", "0.0000001"], ["1e21", "1000000000000000000000"], ["0.000001", "1e-6"], ["-12.5", "-1.25e1"], ["123456789012345680000", "1.2345678901234568e20"], ["9007199254740992"]]
+    want = ["1", "100", "0", "1e-7", "1e+21", "0.000001", "-12.5", "123456789012345680000", "9007199254740992"]
+    rows = [(i, '{"b":[%s],"a":{"x 1e0":"-1.0e2\\\\\\" 7.0"}}' % t) for i, group in enumerate(same) for t in group]
+    df = spark.createDataFrame(rows, "i int, t string")
+    for r in df.select("i", chat.canonical_json(df.t).alias("json"), chat.has_lost_numbers(df.t).alias("lost")).collect():
+        assert r.json == '{"a":{"x 1e0":"-1.0e2\\\\\\" 7.0"},"b":[%s]}' % want[r.i] and not r.lost, r
+    cases = {"9007199254740993": True, "1E400": True, "-1e400": True, "9" * 41: True, '"1E400"': False, "1e-400": False, "0.1": False, "1152921504606846976": True, "{": False, '"' + '\\n\\"' * 100_000 + '"': False}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.lost for r in df.select("t", chat.has_lost_numbers(df.t).alias("lost")).collect()} == cases
+    (row,) = _link(spark, [("a", None, "add", '{"a":1,"b":1e400}')], []).collect()
+    assert (row.errors, row.valid, row.json) == ("number", False, '{"id":"a","level":0,"name":"add","status":"pending","valid":false}')

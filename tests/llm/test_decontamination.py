@@ -15,9 +15,9 @@ def _brute(docs, items, window=10):
         for item, it in items:
             for win in d.windows_of(d.words_of((it or "").encode()), window):
                 for s in range(len(w) - len(win) + 1):
-                    if item is not None and tuple(w[s : s + len(win)]) == win:
+                    if tuple(w[s : s + len(win)]) == win:
                         hit.update(range(s, s + len(win)))
-                        ids.add(str(item))
+                        ids.update([] if item is None else [str(item)])
         out[doc] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
     return out
 
@@ -31,7 +31,8 @@ def test_brute_force(spark, monkeypatch, block):
     got = d.contamination_report(df, spark.createDataFrame(items, "item_id long, text string"))
     rows = {r.doc_id: tuple(r[c] for c in d.RESULTS) for r in got.collect()}
     assert rows == _brute(docs, items)
-    assert rows[6][1] == 24 and rows[5][1] == 25
+    assert rows[6][1] == 24 and rows[5][1] == 25 and rows[9][1:3] == (1, 0)
+    assert got.columns == ["doc_id", "text", "items", *d.RESULTS]  # a column of that name is kept
 
 
 def test_empty_tables(spark):
