@@ -49,7 +49,7 @@ from quern.llm.common import byte_bounded, filesystem, make_dir, materialize, re
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 1 << 16
 RUN_BYTES, BATCH_ROWS = 8 << 20, 2000
-CACHED_CHUNKS, CACHED_PIECES = 1_000_000, 200_000
+CACHED_CHUNKS = 1_000_000  # the first ones are the frequent ones and stay; of pieces a fifth
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,13 +66,14 @@ def _byte_alphabet() -> dict[int, str]:
 class PlaneEncoder:
     """Texts to bytes of little-endian unsigned 32-bit ids."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, cached: int = CACHED_CHUNKS):
         import json
 
         import regex
         from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
+        self.cached = cached
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -107,7 +108,7 @@ class PlaneEncoder:
         """Chunks that begin and end at pre-token borders."""
         split = [self.pieces_of(c) if _PLAIN.fullmatch(c) else None for c in chunks]
         new = list(dict.fromkeys(p for s in split if s for p in s if p not in self.pieces))
-        if len(self.pieces) + len(new) > CACHED_PIECES:
+        if len(self.pieces) + len(new) > self.cached // 5:
             self.pieces.clear()
             new = list(dict.fromkeys(p for s in split if s for p in s))
         self._fill(new)
@@ -177,9 +178,9 @@ class PlaneEncoder:
         if new := [c for c, x in zip(names, ids) if x is None]:
             known = self._encode_spaced(new)
             ids = [known[c] if x is None else x for c, x in zip(names, ids)]
-            if len(self.spaced) + len(known) > CACHED_CHUNKS:
-                self.spaced = dict(islice(self.spaced.items(), len(self.spaced) // 2, None))
-            self.spaced.update(known)
+            if len(self.spaced) >= self.cached and len(new) > len(names) // 2:  # other texts than those before
+                self.spaced = {}
+            self.spaced.update(islice(known.items(), max(0, self.cached - len(self.spaced))))
         ids += self._encode_chunks([chunks[k] for k in at[begin[good]]])
         entry = np.zeros(len(chunks), "i4")
         entry[numbers] = np.arange(len(numbers))
@@ -195,17 +196,17 @@ class PlaneEncoder:
         return out
 
 
-_ENCODERS: dict[int, PlaneEncoder] = {}
+_ENCODERS: dict[tuple[int, int], PlaneEncoder] = {}
 
 
-def encoder(tokenizer_json: str) -> PlaneEncoder:
+def encoder(tokenizer_json: str, cached: int) -> PlaneEncoder:
     """One encoder for each Python worker; its table outlives the task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = zlib.crc32(tokenizer_json.encode())
+    key = (zlib.crc32(tokenizer_json.encode()), cached)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PlaneEncoder(tokenizer_json)
+        _ENCODERS[key] = PlaneEncoder(tokenizer_json, cached)
     return _ENCODERS[key]
 
 
@@ -324,14 +325,14 @@ class PlaneFile:
             left = whole[n:]
 
 
-def _runs_of_texts(column: pa.Array) -> Iterator[list[str]]:
-    """The column's texts, about ``RUN_BYTES`` at a time."""
+def _runs_of_texts(column: pa.Array, limit: int) -> Iterator[list[str]]:
+    """The column's texts, about ``limit`` characters at a time."""
     run, size = [], 0
     for t in column:
         t = t.as_py() or ""
         run.append(t)
         size += len(t)
-        if size >= RUN_BYTES:
+        if size >= limit:
             yield run
             run, size = [], 0
     if run:
@@ -341,16 +342,16 @@ def _runs_of_texts(column: pa.Array) -> Iterator[list[str]]:
 class _TokenFile:
     """A file being written, and its row of the manifest."""
 
-    def __init__(self, store, root: str, place: tuple, encode, end_id: int, bits: bool, level: int):
-        self.name, self.place, self.encode, self.end = f"part-{uuid.uuid4().hex}.planes", place, encode, struct.pack("<I", end_id)
+    def __init__(self, store, root: str, place: tuple, coder: PlaneEncoder, end_id: int, bits: bool, level: int):
+        self.name, self.place, self.coder, self.end = f"part-{uuid.uuid4().hex}.planes", place, coder, struct.pack("<I", end_id)
         self.stream = store.open_output_stream(f"{root}/{self.name}", compression=None)
         self.writer = PlaneWriter(self.stream, bits, level)
         self.keys, self.sizes = [], []
 
     def add(self, keys: pa.Array, texts: pa.Array) -> None:
         self.keys.append(keys)
-        for run in _runs_of_texts(texts):
-            for raw in self.encode(run):
+        for run in _runs_of_texts(texts, RUN_BYTES * self.coder.cached // CACHED_CHUNKS):
+            for raw in self.coder.encode(run):
                 self.writer.add(raw)
                 self.writer.add(self.end)
                 self.sizes.append(len(raw) // 4 + 1)
@@ -361,7 +362,7 @@ class _TokenFile:
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*self.place, self.name, sum(self.sizes), len(self.sizes))], ["source", "at", "file", "ids", "docs"])
 
 
-def _write_files(path: str, tokenizer, end_id: int, bits: bool, level: int):
+def _write_files(path: str, tokenizer, end_id: int, bits: bool, level: int, cached: int):
     """Files of (key, text), or of (key, text, source file, row in it)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +382,7 @@ def _write_files(path: str, tokenizer, end_id: int, bits: bool, level: int):
                 if out and batch.num_columns > 2 and place != follows:
                     yield out.close()
                     out = None
-                out = out or _TokenFile(store, root, place, encoder(tokenizer.value).encode, end_id, bits, level)
+                out = out or _TokenFile(store, root, place, encoder(tokenizer.value, cached), end_id, bits, level)
                 out.add(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
                 follows = (place[0], place[1] + b - a)
         if out:
@@ -397,8 +398,9 @@ def _file_order(name: str) -> tuple:
     return (int(number[1]) if number else -1, name)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, level: int = 3, in_place: bool = False) -> list[tuple[str, int, int]]:
-    """Encode and write ``docs`` by ascending key, then text; with ``in_place`` in the order of
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, level: int = 3, in_place: bool = False, cached: int = CACHED_CHUNKS) -> list[tuple[str, int, int]]:
+    """Encode and write ``docs`` by ascending key, then text (``cached``: chunks of text that a worker
+    keeps encoded, some 300 bytes each with all that goes with them); with ``in_place`` in the order of
     the files that they are read from (by the numbers in their names) and of the rows there.
 
     Returns (file, number of the ids before it, ids) for each file, in order.
@@ -414,7 +416,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col:
         by = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
         rows = docs.select(key, text).repartitionByRange(by[0]).sortWithinPartitions(*by)
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
-        made = materialize(byte_bounded(rows).mapInArrow(_write_files(path, tokenizer, end_id, bits, level), "source string, at bigint, file string, ids bigint, docs bigint"), "token-manifest")
+        made = materialize(byte_bounded(rows).mapInArrow(_write_files(path, tokenizer, end_id, bits, level, cached), "source string, at bigint, file string, ids bigint, docs bigint"), "token-manifest")
     found, before = [], 0
     for r in sorted(made.collect(), key=lambda r: (_file_order(r.source), r["at"])):
         found.append((r.file, before, r.ids))
@@ -447,8 +449,8 @@ def read_token_files(spark: SparkSession, path: str, files: list[tuple[str, int,
     return listed.mapInArrow(_read_files(path), schema).withColumnRenamed("key", key_col)
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, in_place: bool = False) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, in_place: bool = False, cached: int = CACHED_CHUNKS) -> DataFrame:
     """Write ``docs`` as token files and read them back."""
     path = shared_dir(docs.sparkSession, "tokens")
-    files = write_token_files(docs, path, tokenizer_path, key_col, text_col, end_id, bits, in_place=in_place)
+    files = write_token_files(docs, path, tokenizer_path, key_col, text_col, end_id, bits, in_place=in_place, cached=cached)
     return read_token_files(docs.sparkSession, path, files, key_col, docs.schema[key_col].dataType)
