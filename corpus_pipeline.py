@@ -21,6 +21,7 @@ from quern.llm.token_ids import token_table
 
 BLOCK_ROWS = 64
 WINDOW = 10
+CACHED_CHUNKS = 250_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in plane files, in the order of the mixture: doc_id, start, n_tokens, ids_crc32.
 
     ``docs`` is the mixture as read from its files."""
-    return token_table(docs, tokenizer_path(), "doc_id", "text", END_ID, in_place=True)
+    return token_table(docs, tokenizer_path(), "doc_id", "text", END_ID, in_place=True, cached=CACHED_CHUNKS)
 
 
 STAGES = [
