@@ -69,6 +69,25 @@ def byte_bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(run):
+    """The function of batches ``run``, after which the Python worker, which other tasks go on to use,
+    gives memory that it has freed back to the system."""
+
+    def inner(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return inner
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path inside it) of a URI or plain path."""
     from pyarrow import fs

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_bounded, materialize, release, text_bytes
+from quern.llm.common import byte_bounded, materialize, release, text_bytes, tidied
 
 BLOCK_BYTES = 2 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -136,10 +136,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         listed = [(r.id, bytes(r.text)) for r in some.collect()]
         vocabulary = sc.broadcast({w for _, t in listed for w in words_of(t)})
         texts = docs.select(text_bytes(F.col(f"`{text_col}`")).alias("text"))
-        counted = byte_bounded(texts).mapInArrow(_count_words(vocabulary), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = byte_bounded(texts).mapInArrow(tidied(_count_words(vocabulary)), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         frequency = {bytes(r.word): r.n for r in counted.collect()}  # of this block's words alone
         index = sc.broadcast(PrefixIndex(listed, window, frequency))
-        new = byte_bounded(found).mapInArrow(_search(index, docs.columns.index(text_col)), found.schema)
+        new = byte_bounded(found).mapInArrow(tidied(_search(index, docs.columns.index(text_col))), found.schema)
         if block < n_blocks - 1:
             before, new = found, materialize(new, "decontamination")
             if block:

@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import byte_bounded, materialize, text_bytes
+from quern.llm.common import byte_bounded, materialize, text_bytes, tidied
 
 WINDOW, LEVEL, DICTIONARY_BYTES = 2048, 3, 112_640
 PER_CLASS, PIECE = 4000, 1024
-RIDGE = 1.0  # of every weight but the constant, whatever the sample's size
+RIDGE = 4.0  # of every weight but the constant, whatever the size of the sample
 
 
 @dataclass
@@ -179,4 +179,4 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_co
 
     kept = docs.select(*[c for c in docs.columns if c.lower() != score_col.lower()])
     schema = T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return byte_bounded(kept).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), kept.columns.index(text_col), to_arrow_schema(schema)), schema)
+    return byte_bounded(kept).mapInArrow(tidied(_score(docs.sparkSession.sparkContext.broadcast(model), kept.columns.index(text_col), to_arrow_schema(schema))), schema)

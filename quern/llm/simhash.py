@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import byte_bounded, filesystem, materialize, release, setting, shared_dir, text_bytes
+from quern.llm.common import byte_bounded, filesystem, materialize, release, setting, shared_dir, text_bytes, tidied
 from quern.llm.components import connected_components
 
 SEED = 42
@@ -226,7 +226,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
     texts = docs.select(F.col(id_col).alias("id"), text_bytes(F.col(text_col)).alias("text"))
     with _text_batches(docs.sparkSession, PROFILE_ROWS):
-        prints = materialize(byte_bounded(texts).mapInArrow(_fingerprints(shingle), schema), "simhash")
+        prints = materialize(byte_bounded(texts).mapInArrow(tidied(_fingerprints(shingle)), schema), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash")
     roots = connected_components(print_links(distinct.select(F.col("fp").alias("fp0")), max_bits), "a", "b")
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -283,7 +283,7 @@ def _common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.n
     """Sorted hashes of common shingles and their ranks from 1, the most common last."""
     text = text_bytes(F.col(text_col))
     some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = byte_bounded(some).mapInArrow(_shingle_rows(shingle), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    counts = byte_bounded(some).mapInArrow(tidied(_shingle_rows(shingle)), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     rows = counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()
     hashes = rows.column("h").to_numpy().view("<u8")
     order = np.argsort(hashes)
@@ -519,7 +519,7 @@ class _Verifier:
         body = materialize(_named(self.texts, pairs), "near-duplicates")
         of = lambda end: body.select(F.col("row").alias(end), F.col("text").alias("text_" + end))
         with _text_batches(body.sparkSession):
-            found = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(self.check, "a bigint, b bigint")
+            found = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(tidied(self.check), "a bigint, b bigint")
             new = materialize(found if self.links is None else found.union(self.links), "near-duplicates")
         roots = connected_components(new, "a", "b")
         release(*(t for t in (body, self.links, self.roots) if t is not None))
@@ -550,7 +550,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = T.StructType([*boxed.schema.fields, *T._parse_datatype_string("digest binary, size int, fold binary, prefix binary, fp bigint").fields])
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text_col, shingle))
     with _text_batches(docs.sparkSession, PROFILE_ROWS):
-        whole = keep(boxed.mapInArrow(_profile(docs.columns.index(text_col), shingle, similarity, common), schema).withColumn("row", F.monotonically_increasing_id()))
+        whole = keep(byte_bounded(boxed).mapInArrow(tidied(_profile(docs.columns.index(text_col), shingle, similarity, common)), schema).withColumn("row", F.monotonically_increasing_id()))
     own_id = F.col("doc").getField(id_col)
     keys = whole.select("digest", "size", "fp", F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), F.col("row").alias("row")).alias("one"))
     texts = keep(keys.groupBy("digest").agg(F.min("one").alias("one"), F.first("size").alias("size"), F.first("fp").alias("fp")).drop("digest"))
@@ -562,12 +562,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return rows.join(verifier.roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
 
     roots = rooted(texts.where("size > 0").select("one.row"), "row").withColumnRenamed("root", "value")
-    postings = whole.select(F.col("row").alias("id"), "size", "prefix", _found(roots).alias("root")).where("root >= 0").mapInArrow(_postings, "key bigint, id bigint, size int, place int, root bigint")
-    met = keep(postings.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meet(similarity), "a bigint, b bigint, key bigint, size int, place int"))
+    postings = whole.select(F.col("row").alias("id"), "size", "prefix", _found(roots).alias("root")).where("root >= 0").mapInArrow(tidied(_postings), "key bigint, id bigint, size int, place int, root bigint")
+    met = keep(postings.repartition("key").sortWithinPartitions("key", "size").mapInArrow(tidied(_meet(similarity)), "a bigint, b bigint, key bigint, size int, place int"))
     pairs = keep(met.where("b is not null").select("a", "b").distinct())
     facts = keep(_named(whole.select("row", "fold", "size"), pairs))
     of = lambda end: facts.select(F.col("row").alias(end), F.col("fold").alias("fold_" + end), F.col("size").alias("size_" + end))
-    near = keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "fold_a", "size_a", "fold_b", "size_b").mapInArrow(_plausible(similarity), "a bigint, b bigint, far int"))
+    near = keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "fold_a", "size_a", "fold_b", "size_b").mapInArrow(tidied(_plausible(similarity)), "a bigint, b bigint, far int"))
     release(pairs, facts)
     both = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").union(near.select("b", "a", "far"))
     chosen = both.groupBy("x").agg(F.min(F.struct("far", "y")).alias("near"), F.min("y").alias("least")).select("x", F.explode(F.array("near.y", "least")).alias("y"))
@@ -581,7 +581,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         tried = near.select("a", "b")
         for most in (FIRST_PAIRS, None):
             parts = _in_blocks(rooted(wide, "id")).repartition("part").sortWithinPartitions("part")
-            more = parts.mapInArrow(_between(similarity, most), "a bigint, b bigint").distinct()
+            more = parts.mapInArrow(tidied(_between(similarity, most)), "a bigint, b bigint").distinct()
             more = keep(more.join(tried, ["a", "b"], "left_anti"))
             if more.isEmpty():
                 break

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import byte_bounded, filesystem, make_dir, materialize, release, setting, shared_dir
+from quern.llm.common import byte_bounded, filesystem, make_dir, materialize, release, setting, shared_dir, tidied
 
 MAGIC = b"QPLANES1"
 BLOCK_IDS = 1 << 16
@@ -386,8 +386,11 @@ def _write_files(path: str, tokenizer, end_id: int, bits: bool, level: int, cach
                 out.add(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
                 follows = (place[0], place[1] + b - a)
         if out:
+            coder = out.coder
             yield out.close()
-        pa.default_memory_pool().release_unused()
+            out = None
+            if cached < CACHED_CHUNKS:  # memory counts more than time: the worker keeps no table for later tasks
+                coder.spaced, coder.pieces = {}, {}
 
     return write
 
@@ -400,7 +403,8 @@ def _file_order(name: str) -> tuple:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, level: int = 3, in_place: bool = False, cached: int = CACHED_CHUNKS) -> list[tuple[str, int, int]]:
     """Encode and write ``docs`` by ascending key, then text (``cached``: chunks of text that a worker
-    keeps encoded, some 300 bytes each with all that goes with them); with ``in_place`` in the order of
+    keeps encoded, some 300 bytes each with all that goes with them; fewer than the default are
+    forgotten after each task); with ``in_place`` in the order of
     the files that they are read from (by the numbers in their names) and of the rows there.
 
     Returns (file, number of the ids before it, ids) for each file, in order.
@@ -416,7 +420,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, key_col:
         by = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
         rows = docs.select(key, text).repartitionByRange(by[0]).sortWithinPartitions(*by)
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
-        made = materialize(byte_bounded(rows).mapInArrow(_write_files(path, tokenizer, end_id, bits, level, cached), "source string, at bigint, file string, ids bigint, docs bigint"), "token-manifest")
+        made = materialize(byte_bounded(rows).mapInArrow(tidied(_write_files(path, tokenizer, end_id, bits, level, cached)), "source string, at bigint, file string, ids bigint, docs bigint"), "token-manifest")
     found, before = [], 0
     for r in sorted(made.collect(), key=lambda r: (_file_order(r.source), r["at"])):
         found.append((r.file, before, r.ids))
@@ -446,7 +450,7 @@ def read_token_files(spark: SparkSession, path: str, files: list[tuple[str, int,
     """One row for each document of the files: key, start, n_tokens, ids_crc32."""
     schema = T.StructType([T.StructField("key", key_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     listed = spark.createDataFrame([(f, b) for f, b, _ in files], "file string, base bigint").repartition(max(1, len(files)))
-    return listed.mapInArrow(_read_files(path), schema).withColumnRenamed("key", key_col)
+    return listed.mapInArrow(tidied(_read_files(path)), schema).withColumnRenamed("key", key_col)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, key_col: str, text_col: str, end_id: int, bits: bool = False, in_place: bool = False, cached: int = CACHED_CHUNKS) -> DataFrame:

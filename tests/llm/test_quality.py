@@ -47,7 +47,7 @@ def test_scores_equal_a_plain_loop(spark):
     x, y = np.array([d for _, d in fitted]), np.array([y for y, _ in fitted], "f8")
     mean, scale = x.mean(0), x.std(0) + 1e-9
     mean[0], scale[0] = 0, 1
-    z, penalty = (x - mean) / scale, np.array([1e-6] + [1.0] * 27)
+    z, penalty = (x - mean) / scale, np.array([1e-6] + [quality.RIDGE] * 27)
     got = {r.doc_id: r.score for r in op7.op7_quality(spark, SF).collect()}
     apply = lambda w, d: 1 / (1 + np.exp(-np.clip((np.array(d) - mean) / scale @ w, -500, 500)))
     w = np.zeros(28)
