@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 MAX_SOURCES = 1000
 RESOLUTION = 10_000  # the parts of one that weights are rounded to; every source gets one at least
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 13
 MAX_CUTS = 4_000_000
 RESULTS = ("block", "slot", "position")
 
