@@ -224,6 +224,19 @@ SPARQL: dict[str, tuple[str, str]] = {
         'SELECT ?c ?i ?s ?d ?b ?n { ?c c:c_acctbal ?x ; c:c_name ?m ; c:c_nationkey ?k BIND(xsd:integer(?x) AS ?i) BIND(xsd:string(?k) AS ?s) BIND(xsd:double(STR(?k)) AS ?d) BIND(xsd:boolean(?k) AS ?b) BIND(xsd:integer(?m) AS ?n) }',
         "SELECT 'urn:t:customer/' || c_custkey AS c, CAST(trunc(c_acctbal) AS BIGINT) AS i, CAST(c_nationkey AS VARCHAR) AS s, CAST(c_nationkey AS DOUBLE) AS d, c_nationkey <> 0 AS b, CAST(NULL AS BIGINT) AS n FROM customer",
     ),
+    "bgp_blank_lists": (
+        "SELECT ?name ?region { [ c:n_name ?name ; r:region [ c:r_name ?region ] ] }",
+        "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "fn_fresh_values": (
+        """SELECT ?n ?b ?u ?s ?r ?d { ?x c:n_name ?n BIND(isBlank(BNODE()) AS ?b) BIND(REGEX(STR(UUID()), "^urn:uuid:[0-9a-f-]{36}$") AS ?u) BIND(REGEX(STRUUID(), "^[0-9a-f-]{36}$") AS ?s)
+           BIND(RAND() < 1 AS ?r) BIND(DATATYPE(NOW()) = xsd:dateTime AS ?d) }""",
+        "SELECT n_name AS n, true AS b, true AS u, true AS s, true AS r, true AS d FROM nation",
+    ),
+    "fn_timezone": (
+        'SELECT ?n ?z ?t { ?x c:n_name ?n ; c:n_regionkey ?k BIND(STRDT(CONCAT("2011-01-10T14:45:13-0", STR(?k + 1), ":00"), xsd:dateTime) AS ?d) BIND(STR(TIMEZONE(?d)) AS ?z) BIND(TZ(?d) AS ?t) }',
+        "SELECT n_name AS n, '-PT' || (n_regionkey + 1) || 'H' AS z, '-0' || (n_regionkey + 1) || ':00' AS t FROM nation",
+    ),
     "fn_math_ext": (
         "SELECT ?k ?p ?q ?s { ?e c:event_id ?k ; c:ts ?t ; c:value ?v BIND(math:expt(?v, 2) AS ?p) BIND(math:sqrt(math:expt(?v, 2)) AS ?q) BIND(time:datetime_in_seconds(?t) AS ?s) }",
         "SELECT event_id AS k, pow(value, 2) AS p, sqrt(pow(value, 2)) AS q, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 2208988800 AS s FROM events",
@@ -308,6 +321,34 @@ def roundtrip_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quad_text(turtle.read_turtle(spark, path))
 
 
+def graph_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' names in the default graph, their regions in a named one."""
+    made = dataset(spark, sf_dir, ["nation"]).query("CONSTRUCT { ?n c:n_name ?name . GRAPH x:regions { ?n r:region ?r } } WHERE { ?n c:n_name ?name ; r:region ?r }")
+    return materialize(made, "nation")
+
+
+def roundtrip_nquads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "nquads")
+    ntriples.write_statements(graph_quads(spark, sf_dir), path)
+    return quad_text(ntriples.read_statements(spark, path))
+
+
+def roundtrip_trig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "trig")
+    turtle.write_turtle(graph_quads(spark, sf_dir), path, {"c": "urn:c:", "x": "urn:x:"})
+    return quad_text(turtle.read_turtle(spark, path))
+
+
+def _over_quads(construct: str, query: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the quads that ``construct`` makes of the nations."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = materialize(dataset(spark, sf_dir, ["nation"]).query(construct), "nation")
+        return Dataset(QuadSource(made), prefixes=PREFIXES).query(query)
+
+    return run
+
+
 def quads_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free RDF: the chain join and an aggregate over a quad table."""
     d = Dataset(QuadSource(nation_quads(spark, sf_dir)), prefixes=PREFIXES)
@@ -406,6 +447,16 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "graph_clear_copy_move": (_updated("COPY DEFAULT TO x:a ; ADD x:a TO x:b ; MOVE x:b TO x:c ; CREATE GRAPH x:d ; CLEAR DEFAULT ; DROP SILENT GRAPH x:a ; ADD x:c TO DEFAULT"), f"SELECT s, p, o, CAST(NULL AS VARCHAR) AS g FROM {_NATIONS} UNION ALL SELECT s, p, o, 'urn:x:c' FROM {_NATIONS}"),
     "roundtrip_ntriples": (roundtrip_ntriples, f"SELECT s, p, o, CAST(NULL AS VARCHAR) AS g FROM {_NATIONS}"),
     "roundtrip_turtle": (roundtrip_turtle, f"SELECT s, p, o, CAST(NULL AS VARCHAR) AS g FROM {_NATIONS}"),
+    "roundtrip_nquads": (roundtrip_nquads, f"SELECT s, p, o, CASE WHEN p = 'urn:r:region' THEN 'urn:x:regions' END AS g FROM {_NATIONS}"),
+    "roundtrip_trig": (roundtrip_trig, f"SELECT s, p, o, CASE WHEN p = 'urn:r:region' THEN 'urn:x:regions' END AS g FROM {_NATIONS}"),
+    "quads_terms_join": (  # 1 joins 1, not 1.0
+        _over_quads("CONSTRUCT { ?n x:i ?k ; x:i ?e ; x:j ?k } WHERE { ?n c:n_nationkey ?k BIND(?k + 0.0 AS ?e) }", "SELECT ?n ?m { ?n x:i ?v . ?m x:j ?v }"),
+        "SELECT 'urn:t:nation/' || n_nationkey AS n, 'urn:t:nation/' || n_nationkey AS m FROM nation",
+    ),
+    "quads_exact_sums": (
+        _over_quads("CONSTRUCT { ?n r:region ?r ; x:big ?w ; x:cent ?d } WHERE { ?n r:region ?r ; c:n_nationkey ?k BIND(?k + 9007199254740993 AS ?w) BIND(0.1 AS ?d) }", "SELECT ?r (STR(SUM(?w)) AS ?whole) (STR(SUM(?d)) AS ?cents) { ?n r:region ?r ; x:big ?w ; x:cent ?d } GROUP BY ?r"),
+        "SELECT 'urn:t:region/' || n_regionkey AS r, CAST(sum(CAST(9007199254740993 AS HUGEINT) + n_nationkey) AS VARCHAR) AS whole, CAST(sum(CAST(0.1 AS DECIMAL(18, 1))) AS VARCHAR) AS cents FROM nation GROUP BY n_regionkey",
+    ),
     "quads_join": (quads_join, "SELECT 'urn:t:region/' || n_regionkey AS r, count(*) AS n, min(n_name) AS first FROM nation GROUP BY n_regionkey"),
     "quads_mixed_types": (shaped_values, "SELECT 'urn:t:nation/' || n_nationkey AS n, CAST(3 AS BIGINT) AS all, 2 * n_nationkey + CAST(0.5 AS DOUBLE) AS total, n_name AS top FROM nation"),
     "service_join": (service_join, "SELECT 'urn:t:customer/' || c_custkey AS c, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey"),

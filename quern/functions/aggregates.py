@@ -1,7 +1,8 @@
 """Aggregates: COUNT, SUM, AVG, MIN, MAX, SAMPLE and GROUP_CONCAT.
 
 Spark computes all but GROUP_CONCAT in two steps (partial sums before the shuffle).
-Values that aren't numbers are left out of SUM and AVG. SAMPLE is the least value and
+Values that aren't numbers are left out of SUM and AVG. Sums over quads are exact as long as a
+group has integers or decimals alone (up to 38 digits, 18 of them after the point). SAMPLE is the least value and
 GROUP_CONCAT is in the order of its values, so that both are the same at every run.
 """
 
@@ -56,7 +57,12 @@ def _sum(agg: A.Agg, v: Val) -> Val:
     if v.kind in NUMERIC:
         zero = F.lit(0).cast(t.SPARK_TYPES[v.kind])
         return Val(v.kind, F.coalesce(_distinct(agg, n), zero).cast(t.SPARK_TYPES[v.kind]))
-    return _typed(_rank(v), F.coalesce(_distinct(agg, n), F.lit(0.0)), True)
+    rank, dt, lex = _rank(v), v.col["dt"], v.col["lex"]
+    whole = _distinct(agg, F.when(dt.isin(t.INTEGER_TYPES), lex.try_cast("decimal(38,0)"))).cast("string")
+    exact = _distinct(agg, F.when(t.is_numeric(v.col), lex.try_cast("decimal(38,18)"))).cast("string")
+    exact = F.regexp_replace(F.regexp_replace(exact, "0+$", ""), r"\.$", ".0")
+    loose = _typed(rank, F.coalesce(_distinct(agg, n), F.lit(0.0)), True).col
+    return Val("term", F.when((rank == 0) & whole.isNotNull(), t.struct(t.LITERAL, whole, A.INTEGER)).when((rank == 1) & exact.isNotNull(), t.struct(t.LITERAL, exact, A.DECIMAL)).otherwise(loose))
 
 
 def _average(agg: A.Agg, v: Val, parity: bool) -> Val:
