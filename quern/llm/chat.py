@@ -67,14 +67,16 @@ def _is_number(token: Column) -> Column:
 
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys, no white space and canonical numbers; null if it isn't JSON."""
-    return _outside_strings(F.to_json(F.try_parse_json(text)), lambda tokens: F.transform(tokens, lambda t: F.when(_is_number(t), canonical_number(t)).otherwise(t)))
+    made = F.to_json(F.try_parse_json(text))
+    spelt = _outside_strings(made, lambda tokens: F.transform(tokens, lambda t: F.when(_is_number(t), canonical_number(t)).otherwise(t)))
+    return F.when(made.rlike("[0-9]([.eE]|[0-9]{15})"), spelt).otherwise(made)  # short whole numbers are canonical
 
 
 def has_lost_numbers(text: Column) -> Column:
     """If JSON text has a whole number that its canonical spelling changes, or one beyond a double."""
     exact = lambda t: F.coalesce(t.try_cast("decimal(38,0)") == t.cast("double").try_cast("decimal(38,0)"), F.lit(False))
     lost = lambda t: _is_number(t) & (F.coalesce(F.abs(t.try_cast("double")) == float("inf"), F.lit(False)) | (t.rlike("^-?[0-9]{16,}$") & ~exact(t)))
-    return F.contains(_outside_strings(text, lambda tokens: F.transform(tokens, lambda t: F.when(lost(t), F.lit("\x03")).otherwise(F.lit("")))), F.lit("\x03"))
+    return F.coalesce(text.rlike("[0-9]([eE]|[0-9]{15})"), F.lit(False)) & F.contains(_outside_strings(text, lambda tokens: F.transform(tokens, lambda t: F.when(lost(t), F.lit("\x03")).otherwise(F.lit("")))), F.lit("\x03"))
 
 
 def topological_levels(calls: DataFrame) -> DataFrame:
@@ -92,9 +94,9 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     return state.select("call_id", "parent_id", F.when(~circle, F.col("root_id")).alias("root_id"), F.when(~circle, F.col("level")).alias("level"))
 
 
-def argument_errors(arguments: Column, params: Column) -> Column:
-    """Names of what ``arguments`` (JSON text) break of ``params`` (array of name, kind,
-    required; null for an unknown tool)."""
+def argument_errors(arguments: Column, params: Column, lost: Column) -> Column:
+    """Names of what ``arguments`` (JSON text; ``lost``: with refused numbers) break of ``params`` (array
+    of name, kind, required; null for an unknown tool)."""
     parsed = F.from_json(arguments, "map<string,variant>")
 
     def fits(p: Column, kind: Column) -> Column:
@@ -111,7 +113,13 @@ def argument_errors(arguments: Column, params: Column) -> Column:
     unknown = F.transform(F.array_except(F.map_keys(parsed), F.transform(params, lambda p: p["name"])), lambda k: F.concat(F.lit("unknown:"), k))
     found = F.concat(F.filter(F.transform(params, check), lambda e: e.isNotNull()), unknown)
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT"), F.lit(False))
-    return F.when(~is_object, F.array(F.lit("json"))).when(has_lost_numbers(arguments), F.array(F.lit("number"))).when(params.isNull(), F.array(F.lit("tool"))).otherwise(F.array_sort(found))
+    return F.when(~is_object, F.array(F.lit("json"))).when(lost, F.array(F.lit("number"))).when(params.isNull(), F.array(F.lit("tool"))).otherwise(F.array_sort(found))
+
+
+def _with_canonical(calls: DataFrame) -> DataFrame:
+    """With ``lost`` and the canonical text of the arguments, each worked out once."""
+    marked = calls.withColumn("lost", F.coalesce(has_lost_numbers(F.col("arguments")), F.lit(False)))
+    return marked.withColumn("canonical", F.when(~F.col("lost"), canonical_json(F.col("arguments"))))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -124,14 +132,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     tools = schemas.groupBy("tool").agg(F.sort_array(F.collect_set(F.struct(F.col("param").alias("name"), "kind", "required"))).alias("params"))  # as long as the schema
     joined = one_call.drop("parent_id").join(levels, "call_id").withColumn("is_call", F.lit(True)).join(one_result.withColumn("is_result", F.lit(True)), "call_id", "full")
     joined = joined.join(tools, F.col("name") == F.col("tool"), "left")
-    errors = F.when(F.col("is_call"), argument_errors(F.col("arguments"), F.col("params"))).otherwise(F.array().cast("array<string>"))
+    joined = _with_canonical(joined)
+    errors = F.when(F.col("is_call"), argument_errors(F.col("arguments"), F.col("params"), F.col("lost"))).otherwise(F.array().cast("array<string>"))
     status = F.when(F.col("is_call") & F.col("is_result"), "linked").when(F.col("is_call"), "pending").otherwise("orphan")
-    out = joined.select("call_id", status.alias("status"), "parent_id", "root_id", "level", "name", "arguments", "content", errors.alias("found"))
+    out = joined.select("call_id", status.alias("status"), "parent_id", "root_id", "level", "name", "canonical", "content", errors.alias("found"))
     body = F.struct(F.col("call_id").alias("id"), "level", "name", F.col("parent_id").alias("parent"), F.col("content").alias("result"), "status", (F.size("found") == 0).alias("valid"))
-    given = lambda: F.when(~has_lost_numbers(F.col("arguments")), canonical_json(F.col("arguments")))
     whole = lambda args, rest: F.when(args.isNull(), rest).otherwise(F.concat(F.lit('{"arguments":'), args, F.when(rest == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(rest, F.lit(2), F.length(rest))))))
-    identified = out.select("call_id", "status", "parent_id", "root_id", "level", (F.size("found") == 0).alias("valid"), F.array_join("found", ",").alias("errors"), whole(given(), F.to_json(body, plain)).alias("json"))
+    identified = out.select("call_id", "status", "parent_id", "root_id", "level", (F.size("found") == 0).alias("valid"), F.array_join("found", ",").alias("errors"), whole(F.col("canonical"), F.to_json(body, plain)).alias("json"))
     nothing = [F.lit(None).cast("string").alias(c) for c in ("call_id",)]
     rest = [F.lit("unidentified").alias("status"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("bigint").alias("level"), F.lit(False).alias("valid"), F.lit("id").alias("errors")]
-    lone = calls.where("call_id is null").select(*nothing, *rest, whole(given(), F.to_json(F.struct("name"), plain)).alias("json")).unionByName(results.where("call_id is null").select(*nothing, *rest, F.to_json(F.struct(F.col("content").alias("result")), plain).alias("json")))
+    lone = _with_canonical(calls.where("call_id is null")).select(*nothing, *rest, whole(F.col("canonical"), F.to_json(F.struct("name"), plain)).alias("json")).unionByName(results.where("call_id is null").select(*nothing, *rest, F.to_json(F.struct(F.col("content").alias("result")), plain).alias("json")))
     return identified.unionByName(lone)
