@@ -141,17 +141,21 @@ class Engine:
         return [units[i] for i in range(turns) for units in cut if i < len(units)]
 
     def run(self) -> None:
-        self.rules.execute()
+        self._sending(self.rules.execute)
         for unit in self.units():
             self.process(unit)
         self.inputs = []
 
     def process(self, unit: DataFrame) -> None:
-        before = {r.name: r.fired for r in self.rules.rules}
-        self.rules.process(unit)
+        self._sending(lambda: self.rules.process(unit))
+
+    def _sending(self, action: Callable[[], None]) -> None:
+        """Listeners get what CONSTRUCT rules give while ``action`` runs, not what they gave before."""
+        rounds, fired = self.rules.rounds, {r.name: r.fired for r in self.rules.rules}
+        action()
         for r in self.rules.rules:
-            if self.listeners and isinstance(r.operation, A.Query) and r.operation.form == "CONSTRUCT" and r.fired > before.get(r.name, 0):
-                made = self.rules.output(r)
+            if self.listeners and isinstance(r.operation, A.Query) and r.operation.form == "CONSTRUCT" and r.fired > fired.get(r.name, 0):
+                made = self.rules.output(r, with_round=True).where(F.col("round_") > rounds).drop("round_")
                 for other in self.listeners:
                     other.process(made)
 

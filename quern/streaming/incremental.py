@@ -37,10 +37,22 @@ class _Weighted(QuadSource):
         self.extra = {name: ("w", VarType("integer"))}
 
 
+def is_monotone_group(group: A.Group) -> bool:
+    """Whether a group is made of plain patterns, BINDs and FILTERs without EXISTS alone."""
+
+    def ok(e: object) -> bool:
+        if isinstance(e, A.Bgp):
+            return all(isinstance(x.p, A.Iri | A.Var) for x in e.triples)
+        if isinstance(e, A.Filter | A.Bind):
+            return not _has_exists(e if isinstance(e, A.Filter) else A.Filter(e.expr))
+        return isinstance(e, A.Graph) and bool(_patterns(e, DEFAULT)) and all(map(ok, e.group.elements))
+
+    return all(map(ok, group.elements))
+
+
 def is_monotone(q: A.Query) -> bool:
-    ok = lambda e: isinstance(e, A.Bgp) and all(isinstance(x.p, A.Iri | A.Var) for x in e.triples) or isinstance(e, A.Filter | A.Bind) and not _has_exists(e if isinstance(e, A.Filter) else A.Filter(e.expr)) or isinstance(e, A.Graph) and all(map(ok, e.group.elements))
     plain = not (q.group_by or q.having or q.values or q.limit is not None or q.offset)
-    return q.form == "SELECT" and plain and not _aggregating(q) and all(map(ok, q.where.elements))
+    return q.form == "SELECT" and plain and not _aggregating(q) and is_monotone_group(q.where)
 
 
 def _aggregating(q: A.Query) -> bool:

@@ -1,9 +1,12 @@
 """Standing rules: sets of queries and updates that are kept matched against changing quads.
 
 A change of the quads (a unit of input, or what a rule inserted or deleted) is matched in
-bulk: each rule that the changed predicates can concern is evaluated as one DataFrame, and
-the difference to its former matches gives the new rule instances and those that are no
-longer satisfied. Instances wait in an agenda; ``execute`` takes them by one of the policies
+bulk, and only by rules that the changed predicates can concern. Where quads were only added,
+a rule of plain patterns, BINDs and FILTERs (``is_plain``) is joined with the added quads alone:
+one pattern after another reads them, the others all quads. Any other rule is evaluated as one
+DataFrame, and the difference to its former matches gives the new rule instances and those that
+are no longer satisfied. Quads and matches are not rewritten at a change: what came and
+went is laid over them, and after ``LAYERS`` changes they are written anew. Instances wait in an agenda; ``execute`` takes them by one of the policies
 ``first``, ``snapshot``, ``repeat-first`` and ``repeat-snapshot``. Under ``snapshot`` all waiting
 instances run as one job, with the effect of running them in order: per quad the last
 instance to touch it decides, and an instance deletes before it inserts. ``first`` runs one
@@ -24,15 +27,17 @@ from quern import terms as t
 from quern.functions.registry import Context
 from quern.operators import update as U
 from quern.plans.compiler import Compiler
-from quern.plans.relation import Relation, quoted
+from quern.plans.relation import Relation, quoted, union
 from quern.session import rendered
 from quern.sources.quads import QuadSource, empty_quads
 from quern.sparql import ast as A
 from quern.storage import settle, shared_dir
+from quern.streaming.incremental import is_monotone, is_monotone_group
 
 OPERATIONS = ("add", "remove", "execute", "execute-first", "execute-snapshot", "execute-repeat-first", "execute-repeat-snapshot", "flush")
 POLICIES = ("first", "snapshot", "repeat-first", "repeat-snapshot")
 MAX_PREDICATES = 1000
+LAYERS = 8
 
 
 class RuleLimit(RuntimeError):
@@ -47,6 +52,7 @@ class Rule:
     matches: DataFrame | None = None
     output: str | None = None  # folder
     fired: int = 0
+    layers: int = 0  # tables of which ``matches`` is the union
 
     @property
     def updates(self) -> bool:
@@ -92,6 +98,35 @@ def predicates_of(node: object) -> set[str] | None:
     return found
 
 
+def is_plain(op: A.Operation) -> bool:
+    """Whether quads that are added can only add to the matches, each by way of a pattern."""
+    if isinstance(op, A.Query):
+        return op.form in ("SELECT", "CONSTRUCT") and not (op.from_ or op.from_named) and is_monotone(replace(op, form="SELECT"))
+    return isinstance(op, A.Update) and op.where is not None and not (op.using or op.using_named) and is_monotone_group(op.where)
+
+
+class Added(QuadSource):
+    """All quads, but for the pattern number ``at`` (in the order of matching) those that were added."""
+
+    def __init__(self, quads: DataFrame, added: DataFrame, at: int):
+        super().__init__(quads)
+        self.added, self.at, self.patterns = QuadSource(added), at, 0
+
+    def pattern(self, triple: A.Triple, graph: object) -> Relation:
+        self.patterns += 1
+        return self.added.pattern(triple, graph) if self.patterns - 1 == self.at else super().pattern(triple, graph)
+
+
+def _meeting(rows: DataFrame, others: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Those of ``rows`` that are (or with left_anti: are not) in ``others``; unbound equals unbound."""
+    a, b = rows.alias("a"), others.alias("b")
+    return a.join(b, [F.col(f"a.{quoted(c)}").eqNullSafe(F.col(f"b.{quoted(c)}")) for c in rows.columns], how)
+
+
+def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    return _meeting(rows, others, "left_anti")
+
+
 @dataclass
 class RuleEngine:
     spark: SparkSession
@@ -109,6 +144,7 @@ class RuleEngine:
     units: int = 0
     sizes: list[tuple[int, str, int]] = field(default_factory=list)
     report_sizes: bool = False
+    layers: int = 0  # changes that lie over the written quads
 
     def __post_init__(self):
         if bad := [o for o in self.operations if o not in OPERATIONS]:
@@ -130,8 +166,8 @@ class RuleEngine:
     def compiler(self) -> Compiler:
         return Compiler(QuadSource(self.quads), self.ctx, self.services)
 
-    def _solutions(self, rule: Rule) -> Relation:
-        op, compiler = rule.operation, self.compiler()
+    def _solutions(self, rule: Rule, compiler: Compiler | None = None) -> Relation:
+        op, compiler = rule.operation, compiler or self.compiler()
         if isinstance(op, A.Query):
             if op.form == "SELECT":
                 return compiler.select(replace(op, order_by=()) if op.limit is None and not op.offset else op)
@@ -146,12 +182,44 @@ class RuleEngine:
         fresh = any(isinstance(x, A.BNode) for q in (op.template if isinstance(op, A.Query) else op.insert) for x in (q.s, q.p, q.o))
         return r if fresh else r.keep(A.variables(template)) if any(n in r.vars for n in A.variables(template)) else r
 
+    def _additions(self, rule: Rule, added: DataFrame) -> Relation:
+        """What a plain rule matches by way of added quads (at least its new matches)."""
+        found, at = [], 0
+        while True:
+            source = Added(self.quads, added, at)
+            r = self._solutions(rule, Compiler(source, self.ctx, self.services))
+            if at >= source.patterns:  # no pattern is left that has not read the added quads
+                return union(found) if found else Relation(r.df.limit(0), r.vars)
+            found.append(r)
+            at += 1
+
+    def _match_added(self, rules: list[Rule], added: DataFrame) -> None:
+        """Match rules again after quads were added, none removed."""
+        for rule in rules:
+            if rule.matches is None or not is_plain(rule.operation):
+                self._match([rule])
+                continue
+            found, before = self._additions(rule, added), rule.matches
+            if found.vars:
+                columns = [quoted(c) for c in before.columns]
+                reached = settle(found.df.select(*columns).distinct(), "reached")
+                new = settle(_without(reached, _meeting(before, reached)), "agenda")
+            else:
+                new = settle(found.df.limit(1 if before.isEmpty() else 0), "agenda")
+            if not new.isEmpty():
+                rule.matches, rule.layers = before.union(new), rule.layers + 1
+                if rule.layers >= LAYERS:
+                    rule.matches, rule.layers = settle(rule.matches, "matches"), 0
+                self.agenda.append(Waiting(rule, Relation(new, found.vars)))
+            if self.report_sizes:
+                self.sizes.append((self.rounds, rule.name, rule.matches.count()))
+
     def _match(self, rules: list[Rule]) -> None:
         for rule in rules:
             found = self._solutions(rule)
             now = settle(found.df.distinct() if found.vars else found.df.limit(1), "matches")
             before = rule.matches
-            rule.matches = now
+            rule.matches, rule.layers = now, 0
             if self.report_sizes:
                 self.sizes.append((self.rounds, rule.name, now.count()))
             if before is not None:
@@ -183,11 +251,21 @@ class RuleEngine:
         """Apply a set of changes to the quads and match the rules again."""
         before = self.quads
         delete, insert = settle(delete.select(*"spog").distinct(), "delete"), settle(insert.select(*"spog").distinct(), "insert")
-        self.quads = settle(U.applied(before, delete, insert), "quads")
-        names = [r.p for r in delete.union(insert).select(F.col("p")["lex"].alias("p")).distinct().limit(MAX_PREDICATES + 1).collect()]
-        if names:
-            concerned = lambda r: r.predicates is None or len(names) > MAX_PREDICATES or bool(r.predicates & set(names))
-            self._match([r for r in self.rules if concerned(r)])
+        gone = settle(_without(_meeting(before, delete), insert), "gone") if not delete.isEmpty() else delete
+        come = settle(_without(insert, _meeting(before, insert)), "come")
+        names = [r.p for r in gone.union(come).select(F.col("p")["lex"].alias("p")).distinct().limit(MAX_PREDICATES + 1).collect()]
+        if not names:
+            return
+        only_added = gone.isEmpty()
+        self.quads = (before if only_added else _without(before, gone)).union(come)
+        self.layers += 1
+        if self.layers >= LAYERS:
+            self.quads, self.layers = settle(self.quads, "quads"), 0
+        concerned = [r for r in self.rules if r.predicates is None or len(names) > MAX_PREDICATES or r.predicates & set(names)]
+        if only_added:
+            self._match_added(concerned, come)
+        else:
+            self._match(concerned)
 
     # -- execution ---------------------------------------------------------------------------
 
