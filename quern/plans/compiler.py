@@ -124,7 +124,7 @@ class Compiler:
 
     def exists_side(self, group: A.Group, outer: Relation, graph: object):
         """The solutions of an EXISTS pattern and the condition that its filters set."""
-        filters = [x for x in group.elements if isinstance(x, A.Filter)]
+        filters = [A.Filter(e) for x in group.elements if isinstance(x, A.Filter) for e in _conjuncts(x.expr)]
         others = A.Group(tuple(x for x in group.elements if not isinstance(x, A.Filter)))
         own = set(_pattern_variables(others))
         lifted = [x for x in filters if any(v not in own and v in outer.vars for v in A.variables(x)) and not _has_exists(x)]
@@ -137,6 +137,7 @@ class Compiler:
         if not lifted:
             return inner, None
         inner = self.extreme(inner, outer, lifted)
+        inner, lifted = self.keyed(inner, outer, lifted)
         return inner, self.condition(lifted)
 
     def extreme(self, inner: Relation, outer: Relation, lifted: list[A.Filter]) -> Relation:
@@ -160,12 +161,33 @@ class Compiler:
         df = inner.df.groupBy(*(quoted(c) for n in keys for c in inner.columns(n))).agg(best)
         return Relation(df, {n: replace(v, nullable=True) if n == a.name else v for n, v in inner.vars.items()})
 
+    def keyed(self, inner: Relation, outer: Relation, lifted: list[A.Filter]) -> tuple[Relation, list[A.Filter]]:
+        """An EXISTS side whose conditions all equate an expression over it with one over the outer
+        side needs only the distinct values of its expressions, which are keys of the join."""
+        own, sides = set(inner.vars) - set(outer.vars), []
+        for x in lifted:
+            if not isinstance(x.expr, A.Call) or x.expr.name != "=":
+                return inner, lifted
+            a, b = x.expr.args
+            if not set(A.variables(a)) & own:
+                a, b = b, a
+            if not set(A.variables(a)) or not set(A.variables(a)) <= own or set(A.variables(b)) & own:
+                return inner, lifted
+            sides.append((a, b))
+        keys = [n for n in inner.vars if n in outer.vars]
+        for i, (a, _) in enumerate(sides):
+            inner = inner.with_val(f"_:e{i}", self.expr(a, inner.val))
+        names = [f"_:e{i}" for i in range(len(sides))]
+        return inner.keep([*keys, *names]).distinct(), [A.Filter(A.Call("=", (A.Var(n), b))) for n, (_, b) in zip(names, sides)]
+
     def condition(self, filters: list[A.Filter]):
+        """For the condition of a join, where NULL counts as false; so equations stay keys that Catalyst sees."""
+
         def made(left: Relation, right: Relation) -> Column:
             lookup = lambda n: left.val(n) if n in left.vars and (n not in right.vars or not left.vars[n].nullable) else right.val(n)
             out = F.lit(True)
             for x in filters:
-                out = out & F.coalesce(t.ebv(self.expr(x.expr, lookup)), F.lit(False))
+                out = out & t.ebv(self.expr(x.expr, lookup))
             return out
 
         return made
@@ -433,6 +455,10 @@ def _has_exists(node: object) -> bool:
     return isinstance(node, A.Filter) and _has_exists(node.expr)
 
 
+def _conjuncts(e: object) -> list:
+    return [y for x in e.args for y in _conjuncts(x)] if isinstance(e, A.Call) and e.name == "&&" else [e]
+
+
 def _pattern_variables(group: object) -> list[str]:
     """Variables that patterns (not filters or expressions) of a group can bind."""
     found: dict[str, None] = {}

@@ -95,3 +95,29 @@ def test_exists_sees_outer_variables_in_nested_expressions(spark):
     assert one("SELECT ?x { ?x :v ?n FILTER NOT EXISTS { ?y :v ?m FILTER(?m < ?n) } }") == ["a"]
     assert one("SELECT ?x { ?x :v ?n FILTER EXISTS { ?y :v ?m BIND(?n + 2 AS ?k) FILTER(?m = ?k) } }") == ["a"]
     assert one("SELECT ?x { ?x :v ?n FILTER(?n = 2 || NOT EXISTS { ?y :v ?m FILTER(?m > ?n) }) }") == ["b", "c"]
+
+
+def test_exists_by_equal_expressions_is_a_hash_join(spark):
+    """Equations between the two sides of EXISTS and OPTIONAL are keys; unbound and failing ones meet nothing."""
+    d = Dataset(QuadSource(quads_of(spark, [])))
+    inner = "VALUES (?k ?j) { (10 1) (20 2) (20 2) (UNDEF 3) (40 9) (50 UNDEF) }"
+    cases = {
+        f"FILTER EXISTS {{ {inner} FILTER(?k / 10 = ?w) }}": {1, 2, 4},
+        f"FILTER NOT EXISTS {{ {inner} FILTER(?w + 0 = ?k / 10) }}": {3, 6, None},
+        f"FILTER EXISTS {{ {inner} FILTER(?k / 10 = ?w && ?j = ?w && ?k > 10) }}": {2},
+        f"FILTER EXISTS {{ {inner} FILTER(?k / (?j - 1) = ?w * 20) }}": {1},
+        f"FILTER(?w = 3 || EXISTS {{ {inner} FILTER(?k / 10 = ?w) }})": {1, 2, 3, 4},
+        f"OPTIONAL {{ {inner} FILTER(?k / 10 = ?w && ?j = ?w) }} FILTER(!BOUND(?k))": {3, 4, 6, None},
+    }
+    for text, want in cases.items():
+        df = d.query(f"SELECT ?w {{ VALUES ?w {{ 1 2 3 4 6 UNDEF }} {text} }}")
+        assert {r.w for r in df.collect()} == want and df.count() == len(want), text
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, text
+
+
+def test_windows_closed_by_newer_ones_are_no_nested_loop(spark):
+    from quern.catalog import window_avg_closed
+
+    plan = window_avg_closed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
