@@ -27,12 +27,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 SMALL_ROWS = 1000
+SMALL_BYTES = 1 << 20
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` with its lineage cut, for tables that are small more often than not: up to
-    ``SMALL_ROWS`` rows pass through the driver and become a local table, more are written."""
-    head = df.limit(SMALL_ROWS + 1).toArrow()
+    ``SMALL_ROWS`` rows pass through the driver and become a local table, more are written.
+    What reads more than ``SMALL_BYTES`` is written first, since a look at its first rows would compute it once more."""
+    kept = materialize(df, name) if _input_bytes(df) > SMALL_BYTES else None
+    head = (df if kept is None else kept).limit(SMALL_ROWS + 1).toArrow()
     if head.num_rows <= SMALL_ROWS:
         return df.sparkSession.createDataFrame(head, df.schema)
-    return materialize(df, name)
+    return kept if kept is not None else materialize(df, name)
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """What the plan's leaves hold by their statistics; those without any count as large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
